@@ -2,37 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import materialise, shared_dir, small_enough, table
 
-__all__ = ["N_FEATURES", "OUTCOMES", "feature_names", "materialise", "outcome_code", "outcome_name", "present", "shared_dir", "small_enough", "table"]
+__all__ = ["N_FEATURES", "OUTCOMES", "feature_names", "materialise", "one_per_key", "outcome_code", "outcome_name", "present", "shared_dir", "small_enough", "table"]
 
 N_FEATURES = 26
+#: Most keys (8 bytes each) that are sent to every task.
+BROADCAST_ROWS = 500_000
 OUTCOMES = ("LeftShoulder", "RightShoulder", "Head", "Neck", "Sternum", "Other")
 
 
+def _position(c: Column | str) -> Column:
+    """1-based position among the six names; 0 for none, null for null. One pass over the text: no chain of comparisons."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.array_position(F.array(*[F.lit(n.lower()) for n in OUTCOMES]), F.lower(F.btrim(c, F.lit(" \t\r\n\f\v"))))
+
+
 def outcome_name(c: Column | str) -> Column:
     """One of the six outcome names in canonical spelling; null for ``None``, null and anything else.
 
     Letter case and surrounding blanks, tabs and line ends never matter.
     """
-    c = F.col(c) if isinstance(c, str) else c
-    low = F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
-    out = F.when(low == OUTCOMES[0].lower(), OUTCOMES[0])
-    for name in OUTCOMES[1:]:
-        out = out.when(low == name.lower(), name)
-    return out
+    at = _position(c).cast("int")
+    return F.when(at > 0, F.element_at(F.array(*map(F.lit, OUTCOMES)), at))
 
 
 def outcome_code(c: Column | str) -> Column:
-    """Position of the outcome among the six names as int, 99 for all others (None, null)."""
-    name = outcome_name(c)
-    out = F.when(name == OUTCOMES[0], 0)
-    for i, n in enumerate(OUTCOMES[1:], 1):
-        out = out.when(name == n, i)
-    return out.otherwise(99).cast("int")
+    """Position of the outcome among the six names from 0 as int, 99 for all others (None, null)."""
+    at = _position(c).cast("int")
+    return F.when(at > 0, at - 1).otherwise(99)
+
+
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """One row per non-null key. Rows delivered once, nearly all, aren't shuffled.
+
+    Only the keys are aggregated first. If those delivered again are at most ``BROADCAST_ROWS``, they are sent to the tasks and only their rows
+    are deduplicated; otherwise all rows are.
+    """
+    keyed = df.where(F.col(key).isNotNull())
+    again = materialise(keyed.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key))
+    if not small_enough(again, BROADCAST_ROWS):
+        return keyed.dropDuplicates([key])
+    marked = F.broadcast(again)
+    return keyed.join(marked, key, "left_anti").unionByName(keyed.join(marked, key, "left_semi").dropDuplicates([key]))
 
 
 def present(c: Column | str) -> Column:
