@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import OUTCOMES, feature_names, outcome_code, present
+from .common import OUTCOMES, feature_names, one_per_key, outcome_code, present
 
 ACCURACY = 2.0**-12
 PERCENTILES = (1, 5, 25, 50, 75, 95, 99)
@@ -76,17 +76,14 @@ def percentiles(sketched: DataFrame, keys: list[str], qs: tuple[float, ...] = PE
 def record_sketch(records: DataFrame, key: str = "rec_id", features: list[str] | None = None, accuracy: float = ACCURACY) -> DataFrame:
     """``outcome, day, feature, bucket, n, low, high`` of all feature cells of distinct records.
 
-    Values are counted per (outcome, day, feature, value) before buckets are formed: the logarithm is taken once per distinct
-    value and group instead of once per cell.
+    Cells are counted in the task that reads them; files hold few days each, so little is left to shuffle.
     """
     features = features or feature_names()
     fixed = records.select(key, outcome_code("outcome").alias("o"), F.datediff(F.col("captured_at"), F.lit("1970-01-01")).alias("d"), *[present(c).cast("int").alias(c) for c in features])
-    once = fixed.groupBy(key).agg(*[F.first(c).alias(c) for c in ("o", "d", *features)])
     cells = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(c).alias("v")) for i, c in enumerate(features)])
-    counted = once.select("o", "d", F.explode(cells).alias("c")).select("o", "d", "c.feature", "c.v").where("v is not null").groupBy("o", "d", "feature", "v").agg(F.count("*").alias("n"))
-    v = F.col("v")
-    buckets = counted.select("o", "d", "feature", bucket(v, accuracy).alias("bucket"), "n", v.cast("double").alias("_v")).groupBy("o", "d", "feature", "bucket").agg(F.sum("n").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
-    name = F.coalesce(F.element_at(F.array(*map(F.lit, OUTCOMES)), F.when(F.col("o") < 6, F.col("o") + 1)), F.lit("None"))
+    long = one_per_key(fixed, key).select("o", "d", F.explode(cells).alias("c")).select("o", "d", "c.feature", "c.v").where("v is not null")
+    buckets = sketch(long, ["o", "d", "feature"], "v", accuracy)
+    name = F.when(F.col("o") < len(OUTCOMES), F.element_at(F.array(*map(F.lit, OUTCOMES)), F.col("o") + 1)).otherwise("None")
     return buckets.select(name.alias("outcome"), F.date_add(F.lit("1970-01-01").cast("date"), F.col("d")).alias("day"), "feature", "bucket", "n", "low", "high")
 
 
@@ -94,7 +91,7 @@ def record_percentiles(records: DataFrame, accuracy: float = ACCURACY) -> DataFr
     """``level, outcome, day, feature, pct, value, rank_low, rank_high, rank_error, n_values``, per outcome (``level='all'``, day null) and per
     outcome and capture day (``level='day'``). The first comes from the day sketches by addition."""
     days = record_sketch(records, accuracy=accuracy)
-    level = F.explode(F.array(F.lit("all"), F.lit("day"))).alias("level")
-    both = days.select(level, "outcome", "day", "feature", "bucket", "n", "low", "high").withColumn("day", F.when(F.col("level") == "day", F.col("day")))
-    keys = ["level", "outcome", "day", "feature"]
-    return percentiles(combine(both, keys=keys), keys, PERCENTILES, accuracy)
+    per_day = percentiles(days, ["outcome", "day", "feature"], PERCENTILES, accuracy)
+    whole = percentiles(combine(days, keys=["outcome", "feature"]), ["outcome", "feature"], PERCENTILES, accuracy)
+    columns = ["level", "outcome", "day", "feature", "pct", "value", "rank_low", "rank_high", "rank_error", "n_values"]
+    return whole.withColumns({"level": F.lit("all"), "day": F.lit(None).cast("date")}).select(columns).unionByName(per_day.withColumn("level", F.lit("day")).select(columns))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, outcome_name
+from .common import materialise, one_per_key, outcome_name
 
 EPS = 1e-9
 SCHEMA = "batch_id int, outcome string, rec_id bigint, p double"
@@ -36,7 +36,7 @@ def wishes(targets: DataFrame) -> DataFrame:
 def distinct_labels(records: DataFrame) -> DataFrame:
     """``rec_id, batch_id, outcome`` of distinct records with one of the six outcomes."""
     rows = records.select("rec_id", F.col("batch_id").cast("int").alias("batch_id"), outcome_name("outcome").alias("outcome"))
-    return rows.where("outcome is not null and batch_id is not null").dropDuplicates(["rec_id"])
+    return one_per_key(rows.where("outcome is not null and batch_id is not null"), "rec_id")
 
 
 def flight(p: np.ndarray, u: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ Method: every record emits its values; counts are combined by hash before the sh
 (distinct values x tasks) and no value, however common, makes a large group. Repeated deliveries of a record count once.
 
 Defined results: a null or -1 cell is no value; a null list has no values and isn't counted among the lists; an empty list is
-counted and has none. Records with a null id are all one record of unknown identity and count once. Frequency bounds are
+counted and has none. Rows without id are no records. Frequency bounds are
 ``in_records < rare_below`` and ``in_records > common_share * all records``; a value on a bound is neither. Empty tables give no rows.
 """
 
@@ -13,19 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import feature_names, present
+from .common import feature_names, one_per_key, present
 
 RARE_BELOW = 3
 COMMON_SHARE_CELLS = 0.05
 COMMON_SHARE_LISTS = 0.90
 
 
-def distinct_cells(records: DataFrame, key: str = "rec_id", features: list[str] | None = None) -> DataFrame:
-    """One row per record with its feature cells as ints, missing ones null; fixed-width columns only, so the aggregation is by hash."""
-    features = features or feature_names()
-    return records.select(key, *[present(c).cast("int").alias(c) for c in features]).groupBy(key).agg(*[F.first(c).alias(c) for c in features])
-
-
 def _marked(counts: DataFrame, total, rare_below: int, common_share: float) -> DataFrame:
     rare, common = F.col("in_records") < rare_below, F.col("in_records") > F.lit(common_share) * total
     return counts.withColumn("mark", F.when(rare, "rare").when(common, "common").otherwise("useful"))
@@ -38,7 +32,7 @@ def cell_frequencies(records: DataFrame, key: str = "rec_id", features: list[str
     counted pair instead of a second pass over the table.
     """
     features = features or feature_names()
-    rows = distinct_cells(records, key, features)
+    rows = one_per_key(records.select(key, *[present(c).cast("int").alias(c) for c in features]), key)
     pairs = F.array(
         F.struct(F.lit(-1).alias("feature"), F.lit(0).alias("val")),
         *[F.struct(F.lit(i).alias("feature"), F.col(c).alias("val")) for i, c in enumerate(features)],
@@ -55,7 +49,7 @@ def list_frequencies(lists: DataFrame, key: str = "uv_id", feature: str = "featu
     ``occurrences`` counts repeats within a list, ``in_records`` lists. A list is first reduced to (value, repeats) pairs in the
     task that reads it. The number of lists per feature travels as a pair with a null value.
     """
-    once = lists.where(F.col(vals).isNotNull()).select(key, feature, vals).dropDuplicates([key])
+    once = one_per_key(lists.where(F.col(vals).isNotNull()).select(key, feature, vals), key)
     # values sorted, then the end of each run of equal ones: repeats without a nested scan
     run = F.expr(f"array_sort(filter(`{vals}`, x -> x is not null))")
     rows = once.select(F.col(feature).cast("int").alias("feature"), run.alias("v")).select("feature", "v", F.array_distinct("v").alias("d"))
