@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +50,25 @@ def _remove(spark: SparkSession, path: str) -> None:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than that many."""
     return df.limit(rows + 1).count() <= rows
+
+
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Sends this package to all executors, present and later ones, once per application; for sessions started without ``--py-files``."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    shared = shared_dir(spark)
+    folder = Path(shared.removeprefix("file://")) if shared.startswith(("/", "file://")) else Path(tempfile.mkdtemp())  # the driver serves it from there
+    folder.mkdir(parents=True, exist_ok=True)
+    path = folder / f"{package.name}-{uuid.uuid4().hex}.zip"
+    path.write_bytes(packed.getvalue())
+    sc.addPyFile(str(path))
+    _shipped.add(sc.applicationId)
