@@ -37,7 +37,7 @@ LEGAL = "said wherein whereby thereof therein thereto herein according comprisin
 JOINING = "and or but then".split()
 ADDRESSING = "you your we our it they can".split()
 
-_ODD_SPACE = re.compile("[\u0085   -‍    ⁠　﻿]")
+_ODD_SPACE = re.compile(r"[\u0085\u00a0\u1680\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), 39, *range(128, 256)]] = True
 _HYPHEN, _LOWER = ord("-"), np.arange(256, dtype=np.uint64)
@@ -118,11 +118,14 @@ def windows(texts: list[str | None], window: int = WINDOW) -> tuple[np.ndarray,
     with np.errstate(over="ignore"):
         prefix = np.r_[np.uint64(0), np.cumsum((_LOWER[raw] + np.uint64(1)) * _powers(_BASE, len(raw)))]
         word = (prefix[end] - prefix[start]) * _powers(_INVERSE, len(raw))[start]
-    edges = np.r_[start[bounds], len(raw)]
+    owner = text[bounds]
+    opens = np.r_[True, np.diff(owner) != 0]
+    begin = np.where(opens, starts_of[owner], start[bounds])  # a text's first window begins, and its last ends, with the text
+    until = np.where(np.r_[opens[1:], True], np.r_[starts_of[1:], len(raw)][owner], np.r_[begin[1:], len(raw)])
 
     def marks(chars: bytes):
         r = running(np.isin(raw, np.frombuffer(chars, np.uint8)))
-        return (r[edges[1:]] - r[edges[:-1]]) / count
+        return (r[until] - r[begin]) / count
 
     with np.errstate(over="ignore"):
         variety = np.bincount(label[np.unique(word + label.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03), return_index=True)[1]], minlength=len(count)) / count
@@ -132,7 +135,7 @@ def windows(texts: list[str | None], window: int = WINDOW) -> tuple[np.ndarray,
         known = np.sort(here)
         last = word[content] + (serial[content] - 1).astype(np.uint64) * salt
     again = np.zeros(len(word))
-    again[content] = _in(last, known) if len(known) else False
+    again[content] = _in(last, known) & (serial > serial[first[text]])[content] if len(known) else False
     mean_length = mean(length)
     columns = [
         mean_length, np.sqrt(np.maximum(0, mean(length.astype(float) ** 2) - mean_length**2)), mean(v[end] - v[start]), mean(length >= 7), mean(length >= 10), mean(length >= 13),
