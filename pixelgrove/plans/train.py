@@ -4,12 +4,17 @@ Per level there is one job: every open record's cells are counted by (node, feat
 give the gain of all splits of all open nodes at once, and the best split per node comes to the driver (one row per open node). A
 record's node is not stored: it is the value of the tree grown so far, as a CASE over its features, in the same scan. Only every
 ``cut_every`` levels the reached node is written out (to the shared folder), which keeps expressions short; finished records are dropped.
+
+A node of at most ``local_rows`` records needs no more jobs: all such nodes of a level are finished at once, each with its whole subtree
+by one task (``subtree``), which follows the same rules.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +47,74 @@ def _route(splits: dict[int, tuple[str, int]], node: int, op: str) -> Column:
     return done[node]
 
 
-def grow(records: DataFrame, features: Sequence[str], label: str = "label", settings: Settings = Settings(), tree_id: str = "tree", cut_every: int = 6) -> list[dict]:
+LOCAL_ROWS = 200_000
+
+
+def _impurity(counts: np.ndarray) -> float:
+    n = int(counts.sum())
+    return 1 - float((counts.astype(float) ** 2).sum()) / (n * n) if n else 0.0
+
+
+def _local_split(x: np.ndarray, y: np.ndarray, classes: int, s: Settings) -> tuple[int, int] | None:
+    """The best split of one node's records (missing cells are NaN) by the rules of ``stats``."""
+    best, sign = None, 1 if s.tie == "last" else -1
+    for f in range(x.shape[1]):
+        known = ~np.isnan(x[:, f])
+        values, at = np.unique(x[known, f], return_inverse=True)
+        if len(values) < 2:
+            continue
+        counts = np.bincount(at * classes + y[known], minlength=len(values) * classes).reshape(len(values), classes)
+        left = counts.cumsum(0) if s.op == "le" else counts.cumsum(0) - counts
+        total = counts.sum(0)
+        nl, n = left.sum(1), int(total.sum())
+        ok = (nl > 0) & (nl < n)
+        left, nl, values = left[ok].astype(float), nl[ok], values[ok]
+        gain = ((left**2).sum(1) / nl + ((total - left) ** 2).sum(1) / (n - nl) - (total.astype(float) ** 2).sum() / n) / n
+        gain, values = gain[gain > 0], values[gain > 0]
+        if not len(gain):
+            continue
+        q = np.floor(gain * s.quantum)
+        top = np.flatnonzero(q == q.max())
+        v = values[top[-1] if s.tie == "last" else top[0]]
+        candidate = (q.max(), sign * f, sign * int(v))
+        if best is None or candidate > best:
+            best = candidate
+    return None if best is None else (sign * best[1], sign * best[2])
+
+
+def subtree(x: np.ndarray, y: np.ndarray, classes: int, node: int, s: Settings) -> list[tuple[str, int | None, int | None, list[int]]]:
+    """``node, feature, value, class counts`` of the tree below (and with) a node, grown from its records."""
+    out, todo = [], [(node, np.arange(len(y)))]
+    while todo:
+        k, rows = todo.pop()
+        counts = np.bincount(y[rows], minlength=classes)
+        split = None
+        if len(rows) > s.min_node and _impurity(counts) > s.min_impurity and k.bit_length() - 1 < s.max_depth:
+            split = _local_split(x[rows], y[rows], classes, s)
+        if split is None:
+            out.append((str(k), None, None, counts.tolist()))
+            continue
+        with np.errstate(invalid="ignore"):
+            yes = x[rows, split[0]] <= split[1] if s.op == "le" else x[rows, split[0]] < split[1]
+        out.append((str(k), split[0], split[1], counts.tolist()))
+        todo += [(2 * k, rows[yes]), (2 * k + 1, rows[~yes])]
+    return out
+
+
+def _finished(records: DataFrame, features: Sequence[str], labels: list[str], settings: Settings) -> list:
+    """Subtrees of all records' nodes (``_node``), one task per node; comes to the driver, one row per node of the tree."""
+    code = F.array_position(F.array(*map(F.lit, labels)), F.col("_label")).cast("int") - 1
+    cells = records.select("_node", code.alias("_y"), *[F.col(f).cast("double").alias(f) for f in features])
+    features = list(features)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = subtree(pdf[features].to_numpy(float), pdf["_y"].to_numpy(np.int64), len(labels), int(pdf["_node"].iloc[0]), settings)
+        return pd.DataFrame({"node": [r[0] for r in rows], "feature": pd.array([r[1] for r in rows], "Int32"), "value": pd.array([r[2] for r in rows], "Int32"), "counts": [r[3] for r in rows]})
+
+    return cells.groupBy("_node").applyInPandas(run, "node string, feature int, value int, counts array<bigint>").collect()
+
+
+def grow(records: DataFrame, features: Sequence[str], label: str = "label", settings: Settings = Settings(), tree_id: str = "tree", cut_every: int = 6, local_rows: int = LOCAL_ROWS) -> list[dict]:
     """The nodes of a tree, in preorder. Records without label take no part; missing cells take the false branch.
 
     A node becomes a leaf if its impurity is at most ``min_impurity``, it has at most ``min_node`` records, no split has a positive gain,
@@ -72,7 +144,15 @@ def grow(records: DataFrame, features: Sequence[str], label: str = "label", sett
             n = sum(h.values())
             return 1 - sum(c * c for c in h.values()) / (n * n) if n else 0.0
 
-        split_nodes = [k for k, h in totals.items() if sum(h.values()) > settings.min_node and impurity(h) > settings.min_impurity and level < settings.max_depth]
+        small = {k for k, h in totals.items() if 0 < sum(h.values()) <= local_rows}
+        if small:
+            for r in _finished(here.where(F.col("_node").isin([str(k) for k in small])), features, labels, settings):
+                if r["feature"] is None:
+                    n = sum(r["counts"])
+                    leaves[int(r["node"])] = [(o, c / n) for o, c in zip(labels, r["counts"], strict=True) if c]
+                else:
+                    splits[int(r["node"])] = (features[r["feature"]], r["value"])
+        split_nodes = [k for k, h in totals.items() if k not in small and sum(h.values()) > settings.min_node and impurity(h) > settings.min_impurity and level < settings.max_depth]
         best = {}
         if split_nodes:
             wanted = here.where(F.col("_node").isin([str(k) for k in split_nodes]))
@@ -81,6 +161,8 @@ def grow(records: DataFrame, features: Sequence[str], label: str = "label", sett
             best = {int(r["_node"]): (r["feature"], r["value"]) for r in stats.best_split(gains, ("_node",), settings).collect()}  # one row per open node
         opened = []
         for k, h in totals.items():
+            if k in small:
+                continue
             if k in best:
                 splits[k] = pending[k] = (features[best[k][0]], best[k][1])
                 opened += [2 * k, 2 * k + 1]
