@@ -121,7 +121,7 @@ def read_strains(spark: SparkSession, path: str) -> DataFrame:
 def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
     """``line_no, mm`` and eight strains."""
     mm = F.transform(F.split(F.regexp_extract("value", r"M\(([^()]*)\)", 1), ","), lambda x: x.try_cast("double"))
-    codes = F.regexp_extract_all(F.regexp_extract("value", r"S\((.*)$", 1), F.lit(r"([0-9])"), F.lit(1))
+    codes = F.regexp_extract_all(F.regexp_extract("value", r";S\((.*)$", 1), F.lit(r"([0-9])"), F.lit(1))
     lines = spark.read.text(path).where(F.btrim("value", F.lit(" \t\r")) != "").withColumn("line_no", F.monotonically_increasing_id())
     return lines.select("line_no", mm.alias("mm"), *[F.get(codes, F.lit(i)).try_cast("int").alias(c) for i, c in enumerate(STRAINS)])
 
