@@ -135,10 +135,47 @@ _SHORT = f"""with t as (select batch_id, {_NAME} outcome, max(greatest(coalesce(
     select t.batch_id, t.outcome from t left join c on t.batch_id = c.batch_id and t.outcome = c.outcome where coalesce(n, 0) < wanted"""
 
 
+_REPORT = f"""with t as (select batch_id, {_NAME} outcome, max(greatest(coalesce(min_rows, 0), target_pct * n_wanted / 100.0)) wanted from targets where batch_id is not null and {_NAME} is not null group by 1, 2),
+    r as (select distinct rec_id, batch_id, {_NAME} outcome from records), c as (select batch_id, outcome, count(*) n from r group by 1, 2)
+    select t.batch_id, t.outcome, cast(wanted as double) wanted, coalesce(n, 0) available, cast(least(wanted, coalesce(n, 0)) as bigint) drawn, cast(0.0 as double) residual, coalesce(n, 0) < wanted short
+    from t left join c on t.batch_id = c.batch_id and t.outcome = c.outcome"""
+
+
+def _percentiles() -> str:
+    """Nearest-rank percentiles from exact counts of every value."""
+    cols = ", ".join(f"min({f}) {f}" for f in feature_names())
+    cells = " union all ".join(f"select outcome, d, {i} feature, {f} val from r where {f} is not null and {f} <> -1" for i, f in enumerate(feature_names()))
+    ranks = ", ".join(f"({float(q)})" for q in percentiles.PERCENTILES)
+    return f"""with r as (select rec_id, coalesce(min({_NAME}), 'None') outcome, cast(min(captured_at) as date) d, {cols} from records where rec_id is not null group by rec_id), cells as ({cells}),
+    both_levels as (select 'all' "level", outcome, cast(null as date) "day", feature, val from cells union all select 'day', outcome, d, feature, val from cells),
+    c as (select level, outcome, day, feature, val, count(*) n from both_levels group by 1, 2, 3, 4, 5),
+    w as (select *, sum(n) over (partition by level, outcome, day, feature order by val) hi, sum(n) over (partition by level, outcome, day, feature) total from c)
+    select level, outcome, day, feature, cast(pct as double) pct, cast(val as double) "value", cast(hi - n + 1 as bigint) rank_low, cast(hi as bigint) rank_high, cast(0 as bigint) rank_error, cast(total as bigint) n_values
+    from w join (values {ranks}) as q(pct) on greatest(1, ceil(pct * total / 100.0)) <= hi and greatest(1, ceil(pct * total / 100.0)) > hi - n"""
+
+
+_AGREE = " + ".join(f"case when a.{f} is not distinct from b.{f} or abs(a.{f} - b.{f}) <= 2 then 1 else 0 end" for f in feature_names())
+_SAME = " and ".join(f"a.{f} is not distinct from b.{f}" for f in feature_names())
+_OVERLAPS = f"""r as (select rec_id, min(sensor_id) sensor_id, min(lower(trim(data_split))) data_split, min({_NAME}) outcome, {', '.join(f'min(nullif({f}, -1)) {f}' for f in feature_names())} from records where rec_id is not null group by rec_id),
+    pairs as (select a.rec_id t, b.rec_id e, {_SAME} same from r a join r b on a.outcome = b.outcome where a.data_split = 'train' and b.data_split in ('validation', 'test') and {_AGREE} >= 23)"""
+
+_KNN = f"""v as (select id, min(vec) vec from (select mm_id id, vals vec from measurements union all select mm_id, mm from knowledge)
+        where len(vec) = 18 and len([x for x in vec if x is not null and isfinite(x)]) = 18 and len([x for x in vec if x <> 0]) > 0 group by id),
+    d as (select a.id, b.id neighbour, sqrt({' + '.join(f'(a.vec[{i}] - b.vec[{i}]) * (a.vec[{i}] - b.vec[{i}])' for i in range(1, 19))}) dist from v a join v b on a.id <> b.id),
+    k as (select *, row_number() over (partition by id order by dist, neighbour) rank from d), n as (select * from k where rank <= 5)"""
+
+
 def oracle_sql():
     frequencies = _frequencies()
     return {
         "p1_frequencies": frequencies,
         "p1_found": f"select src, feature, val from ({frequencies}) where mark <> 'useful'",
+        "p2_found": f"with {_KNN} select distinct least(id, neighbour) mm_id_a, greatest(id, neighbour) mm_id_b from n",
+        "p3_percentiles": _percentiles(),
         "p5_found": _SHORT,
+        "p5_report": _REPORT,
+        "p6_found": f"with {_OVERLAPS} select least(t, e) rec_id_a, greatest(t, e) rec_id_b from pairs",
+        "p6_report": f"""with {_OVERLAPS}, m as (select e, max(case when same then 1 else 0 end) same from pairs group by e)
+            select data_split, sensor_id, count(*) records, count(case when same = 1 then 1 end) same, count(case when same = 0 then 1 end) near
+            from r left join m on e = rec_id where data_split in ('validation', 'test') and outcome is not null group by 1, 2""",
     }
