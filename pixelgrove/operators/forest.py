@@ -155,3 +155,9 @@ def accuracy_vote(voted: DataFrame, label: str = "label", out: str = "vote") ->
 
 def confusion(voted: DataFrame, label: str = "label", out: str = "vote") -> DataFrame:
     return voted.groupBy(label, out).agg(F.count("*").alias("n"))
+
+
+def check_record(records: DataFrame, rec_id: int, trees: Sequence[Sequence[Row | dict]], features: Sequence[str], key: str = "rec_id", label: str = "label") -> DataFrame:
+    """``key, label, vote, correct`` of one record."""
+    voted = vote(records.where(F.col(key) == rec_id), trees, features)
+    return voted.select(key, label, "vote", (F.col("vote") == F.col(label)).alias("correct"))

@@ -270,6 +270,11 @@ def confusion(s, d):
     return forest.confusion(forest.vote(named(s, d), trees(), FEATURES))
 
 
+@query(f"with {_VOTES} select distinct e.rec_id, e.label, vote, vote = e.label correct from e join voted v on v.rec_id = e.rec_id where e.rec_id = 100")
+def check_record(s, d):
+    return forest.check_record(named(s, d), 100, trees(), FEATURES).distinct()
+
+
 _NODE_VALUES = ", ".join(f"('{r['tree_id']}', {r['node_id']}, '{r['kind']}', {r['true_id'] or 'null'}, {r['false_id'] or 'null'})" for t in trees() for r in t)
 _PATHS = f"""with recursive n(tree_id, node_id, kind, true_id, false_id) as (values {_NODE_VALUES}),
     p as (select tree_id, node_id, 1 depth, '' path from n where node_id = 1 union all

@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def traced(df: DataFrame, name: str, enabled: bool = True) -> DataFrame:
+    """``df`` that reports its number of rows under ``name`` to query listeners and the log of the run, without a pass of its own."""
+    return df.observe(name, F.count(F.lit(1)).alias("rows")) if enabled else df
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -65,10 +71,11 @@ def ship_code(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
-    shared = shared_dir(spark)
-    folder = Path(shared.removeprefix("file://")) if shared.startswith(("/", "file://")) else Path(tempfile.mkdtemp())  # the driver serves it from there
-    folder.mkdir(parents=True, exist_ok=True)
-    path = folder / f"{package.name}-{uuid.uuid4().hex}.zip"
-    path.write_bytes(packed.getvalue())
-    sc.addPyFile(str(path))
+    path = f"{shared_dir(spark)}/{package.name}-{uuid.uuid4().hex}.zip"
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(sc._jsc.hadoopConfiguration()).create(where)
+    out.write(packed.getvalue())
+    out.close()
+    atexit.register(_remove, spark, path)
+    sc.addPyFile(path)
     _shipped.add(sc.applicationId)
