@@ -38,6 +38,12 @@ def p2_neighbours(s, d):
     return neighbours.knn(_vectors(s, d))
 
 
+def p2_recall(s, d):
+    """One row: the reach of the index, its recall against brute force for the fit's queries, and how many queries were answered exactly."""
+    info = neighbours.knn_points(materialise(neighbours.points(_vectors(s, d), 5)), 5)[1]
+    return s.createDataFrame([(float(info["reach"]), float(info["recall"]), int(info.get("exactly_answered", 0)))], "reach double, recall double, exactly_answered bigint")
+
+
 def p3_percentiles(s, d):
     return percentiles.record_percentiles(table(s, d, "records"))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import feature_names, one_per_key, present
+from .common import feature_names, materialise, one_per_key, present
 
 RARE_BELOW = 3
 COMMON_SHARE_CELLS = 0.05
@@ -37,10 +37,11 @@ def cell_frequencies(records: DataFrame, key: str = "rec_id", features: list[str
         F.struct(F.lit(-1).alias("feature"), F.lit(0).alias("val")),
         *[F.struct(F.lit(i).alias("feature"), F.col(c).alias("val")) for i, c in enumerate(features)],
     )
-    counts = rows.select(F.explode(pairs).alias("p")).select("p.feature", "p.val").where("val is not null").groupBy("feature", "val").agg(F.count("*").alias("n"))
-    total = counts.where("feature = -1").select(F.col("n").alias("_total"))
+    cells = rows.select(F.explode(pairs).alias("p")).select("p.feature", "p.val").where("val is not null")
+    counts = materialise(cells.groupBy("feature", "val").agg(F.count("*").alias("n")))  # written, so that records are read and exploded once
+    total = F.lit(sum(r.n for r in counts.where("feature = -1").select("n").collect()))  # one row, none without records
     counts = counts.where("feature >= 0").select(F.lit("feature").alias("src"), "feature", "val", F.col("n").alias("occurrences"), F.col("n").alias("in_records"))
-    return _marked(counts.crossJoin(F.broadcast(total)), F.col("_total"), rare_below, common_share).drop("_total")  # one row
+    return _marked(counts, total, rare_below, common_share)
 
 
 def list_frequencies(lists: DataFrame, key: str = "uv_id", feature: str = "feature", vals: str = "vals", rare_below: int = RARE_BELOW, common_share: float = COMMON_SHARE_LISTS) -> DataFrame:
@@ -58,7 +59,7 @@ def list_frequencies(lists: DataFrame, key: str = "uv_id", feature: str = "featu
     values = F.concat(F.array(F.lit(None).cast("int")), F.col("d").cast("array<int>"))
     exploded = rows.select("feature", one_each.alias("e"), F.explode(values).alias("val"))
     counted = exploded.groupBy("feature", "val").agg(F.sum(F.when(F.col("e"), 1).otherwise(0)).alias("occurrences"), F.count("*").alias("in_records"))
-    counts = counted.unionByName(unequal.withColumn("val", F.col("val").cast("int"))).groupBy("feature", "val").agg(F.sum("occurrences").alias("occurrences"), F.sum("in_records").alias("in_records"))
+    counts = materialise(counted.unionByName(unequal.withColumn("val", F.col("val").cast("int"))).groupBy("feature", "val").agg(F.sum("occurrences").alias("occurrences"), F.sum("in_records").alias("in_records")))
     totals = counts.where("val is null").select("feature", F.col("in_records").alias("_total"))
     counts = counts.where("val is not null").select(F.lit("vals").alias("src"), "feature", "val", "occurrences", "in_records")
     joined = counts.join(totals, counts["feature"].eqNullSafe(totals["feature"])).drop(totals["feature"])
