@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import small_enough
+from ..plans.tables import materialise, small_enough
 
 N_MEASUREMENTS = 18
 STRAIN_COLUMNS = ("neck_left", "neck_back", "neck_right", "neck_front", "upper_left", "upper_back", "upper_right", "upper_front")
@@ -80,6 +80,7 @@ def cast_reason(kind: Column, raw: Column) -> Column:
 def bad_cells(found: DataFrame) -> DataFrame:
     """``line_id, pos, raw, reason`` of the cells in the dictionary of invalid values."""
     dictionary = found.select("type", "raw").distinct().withColumn("reason", cast_reason(F.col("type"), F.col("raw"))).where("reason is not null")
+    dictionary = materialise(dictionary)  # invalid values only
     if small_enough(dictionary, DICTIONARY_ROWS):
         return found.join(F.broadcast(dictionary), ["type", "raw"])
     salted = dictionary.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
