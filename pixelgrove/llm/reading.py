@@ -291,11 +291,11 @@ def levels(documents: DataFrame, model: ReadingModel) -> DataFrame:
     return scored.withColumns({c: F.when(F.col("words") > 0, F.col(c)) for c in ("level", "hardest")})
 
 
-def easy_throughout(scored: DataFrame, below: float = 1.5, hardest_below: float = 1.9, min_words: int = MIN_WORDS) -> DataFrame:
+def easy_throughout(scored: DataFrame, below: float = 1.5, hardest_below: float = 2.0, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id`` of texts of level 1 in every window.
 
-    A text is a mean over many windows and is cut between the levels. A single window of ordinary level 1 text strays further (two
-    joined sentences among five), hence the wider bound for it, still below what any passage of level 2 gets.
+    A text is a mean over many windows and is cut between the levels. A single window of ordinary level 1 text strays further (a few
+    joined sentences in a row), hence the wider bound for it: no window may be as hard as a text of level 2 is on the whole.
     """
     return scored.where((F.col("words") >= min_words) & (F.col("level") < below) & (F.col("hardest") < hardest_below)).select("doc_id")
 
