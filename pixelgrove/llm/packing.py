@@ -106,15 +106,15 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, bins: int = BINS,
         if not left[length]:
             del left[length]
 
-    bins = min(bins, capacity)
-    width = -(-capacity // bins)
-    bin_of = lambda length: min(bins, -(-length // width))
+    width = -(-capacity // min(bins, capacity))
+    bins = capacity // width  # whole bins never exceed the capacity; a length beyond them is left to the second step
     pools: dict[int, list[int]] = defaultdict(list)
-    for length in sorted(left):
-        pools[bin_of(length)].append(length)  # the longest is taken first
     want = np.zeros(bins + 1)
-    for length, n in left.items():
-        want[bin_of(length)] += n
+    for length in sorted(left):
+        k = -(-length // width)
+        if k <= bins:
+            pools[k].append(length)  # the longest is taken first
+            want[k] += left[length]
     columns = patterns(np.flatnonzero(want), bins)
     repeats = np.floor(share * nnls(columns / 1.0, want) + 1e-9).astype(np.int64) if columns.shape[1] else np.zeros(0, np.int64)
     for c in np.argsort(-repeats, kind="stable"):

@@ -20,11 +20,11 @@ def filled(intervals, used, capacity):
     return load, seen
 
 
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 60), max_size=30))
-@settings(max_examples=100, deadline=None)
-def test_plan_places_every_item_within_capacity(histogram):
-    intervals, used = packing.plan(histogram, 64, 16)
-    _, seen = filled(sorted(intervals), used, 64)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 60), max_size=30), st.integers(64, 90), st.integers(1, 100))
+@settings(max_examples=150, deadline=None)
+def test_plan_places_every_item_within_capacity(histogram, capacity, bins):
+    intervals, used = packing.plan(histogram, capacity, min(bins, 24) if bins < 90 else bins)
+    _, seen = filled(sorted(intervals), used, capacity)
     assert seen == Counter(histogram)
 
 
