@@ -2,8 +2,9 @@
 
 Pattern packing. The histogram of item lengths (at most ``capacity`` entries, whatever the number of items) goes to the driver.
 There, patterns of few distinct length bins that fill a container are enumerated, their repeat counts are fitted to the histogram
-by non-negative least squares and rounded down, and what is left is packed best-fit into the slack of the pattern containers and
-into new ones. All of it works on counts: items of one length are interchangeable. The result is a plan of intervals
+by non-negative least squares; ``SHARE`` of them, rounded down, is used, and what is left is packed best-fit into the slack of the pattern
+containers and into new ones. Patterns leave ``GAP`` of a typical length free, since a document that fits a gap exactly is easily found
+among those left, and a small gap can't be filled at all. All of it works on counts: items of one length are interchangeable. The result is a plan of intervals
 
     items number ``first`` .. ``last`` of length L go to containers ``container``, ``container + 1``, ..., ``each`` to a container
 
@@ -30,7 +31,8 @@ from .common import materialise
 
 CAPACITY = 8192
 BINS = 64
-SHARE = 0.5
+#: Part of the fitted repeat counts that is used, and of a typical length that a pattern leaves free.
+SHARE, GAP = 0.5, 0.5
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -61,8 +63,8 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
     return x
 
 
-def patterns(present: np.ndarray, bins: int, distinct: int = 3) -> np.ndarray:
-    """Columns of repeat counts of up to ``distinct`` different bins whose upper bounds fill ``bins`` exactly, or nearly by one bin."""
+def patterns(present: np.ndarray, bins: int, rows: int, distinct: int = 3) -> np.ndarray:
+    """Columns (of ``rows`` bins) of repeat counts of up to ``distinct`` different bins whose upper bounds fill ``bins`` exactly, or nearly by one bin."""
     lengths = [int(i) for i in present]
     pairs = [(i, m) for i in lengths for m in range(1, bins // i + 1)]
     found: set[tuple] = set()
@@ -80,14 +82,14 @@ def patterns(present: np.ndarray, bins: int, distinct: int = 3) -> np.ndarray:
                 for h in lengths:
                     if h > j and rest % h == 0:
                         found.add(((i, m), (j, k), (h, rest // h)))
-    out = np.zeros((bins + 1, len(found)), np.float32)
+    out = np.zeros((rows, len(found)), np.float32)
     for c, p in enumerate(sorted(found)):
         for i, m in p:
             out[i, c] = m
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, bins: int = BINS, share: float = SHARE) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, bins: int = BINS, share: float = SHARE, gap: float = GAP) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Intervals ``(length, first, last (exclusive), container, each)`` for a histogram of lengths 1..capacity, and the number of containers."""
     left = {int(k): int(v) for k, v in histogram.items() if v > 0}
     if not left:
@@ -115,7 +117,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, bins: int = BINS,
         if k <= bins:
             pools[k].append(length)  # the longest is taken first
             want[k] += left[length]
-    columns = patterns(np.flatnonzero(want), bins)
+    typical = np.median(np.repeat(np.arange(bins + 1), np.ceil(want / max(1.0, want.sum()) * 1000).astype(int))) if want.any() else 0
+    room = int(gap * typical)  # bins left free in every pattern, for one more document that fits exactly
+    columns = patterns(np.array([k for k in np.flatnonzero(want) if k <= bins - room]), bins - room, bins + 1)
     repeats = np.floor(share * nnls(columns / 1.0, want) + 1e-9).astype(np.int64) if columns.shape[1] else np.zeros(0, np.int64)
     for c in np.argsort(-repeats, kind="stable"):
         n = int(repeats[c])

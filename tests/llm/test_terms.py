@@ -37,7 +37,7 @@ def test_hot_value_and_not_useful(spark):
     marks = defaultdict(int)
     for r in rows:
         marks[r.mark] += 1
-    assert marks == {"common": 1, "rare": 1332 if any(r.val == 42 and r.in_records == 668 for r in rows) else 1333} or marks["common"] == 1
+    assert marks == {"common": 1, "rare": 1333}  # 667 records share one value
 
 
 def test_empty(spark):
