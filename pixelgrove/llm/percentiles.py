@@ -49,7 +49,7 @@ def sketch(values: DataFrame, keys: list[str], value: str, accuracy: float = ACC
     """``keys, bucket, n, low, high``: counts, least and greatest value of each bucket. Null and NaN are no values."""
     v = F.col(value)
     kept = values.where(v.isNotNull() & ~F.isnan(v.cast("double")))
-    return kept.select(*keys, bucket(v, accuracy).alias("bucket"), v.cast("double").alias("_v")).groupBy(*keys, "bucket").agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    return kept.select(*keys, bucket(v, accuracy).alias("bucket"), v.alias("_v")).groupBy(*keys, "bucket").agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
 
 
 def combine(*sketches: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,29 +69,40 @@ def percentiles(sketched: DataFrame, keys: list[str], qs: tuple[float, ...] = PE
     running = sketched.withColumn("_to", F.sum("n").over(w.orderBy("bucket"))).withColumn("_all", F.sum("n").over(w))
     want = F.array(*[F.struct(F.lit(float(q)).alias("pct"), F.greatest(F.lit(1), F.ceil(F.lit(float(q)) * F.col("_all") / 100.0)).cast("bigint").alias("rank")) for q in qs])
     hit = running.select("*", F.explode(F.filter(want, lambda x: (x["rank"] <= F.col("_to")) & (x["rank"] > F.col("_to") - F.col("n")))).alias("q"))
-    value = F.least(F.greatest(bucket_value(F.col("bucket"), accuracy), F.col("low")), F.col("high"))
+    value = F.least(F.greatest(bucket_value(F.col("bucket"), accuracy), F.col("low").cast("double")), F.col("high").cast("double"))
     return hit.select(*keys, F.col("q.pct").alias("pct"), value.alias("value"), (F.col("_to") - F.col("n") + 1).alias("rank_low"), F.col("_to").alias("rank_high"), F.when(F.col("low") == F.col("high"), 0).otherwise(F.col("n") - 1).alias("rank_error"), F.col("_all").alias("n_values"))
 
 
+def _coded_sketch(records: DataFrame, key: str, features: list[str], accuracy: float) -> DataFrame:
+    """``g, d, bucket, n, low, high`` in numbers only, which is what gets shuffled: g is outcome code * 1000 + feature, d days since 1970."""
+    fixed = records.select(key, outcome_code("outcome").alias("o"), F.datediff(F.col("captured_at"), F.lit("1970-01-01")).alias("d"), *[present(c).cast("int").alias(c) for c in features])
+    cells = F.array(*[F.struct((F.col("o") * 1000 + i).alias("g"), F.col(c).alias("v")) for i, c in enumerate(features)])
+    long = one_per_key(fixed, key).select("d", F.explode(cells).alias("c")).select("c.g", "d", "c.v")
+    return sketch(long, ["g", "d"], "v", accuracy)
+
+
+def _decoded(coded: DataFrame, *rest: str) -> DataFrame:
+    """``outcome, [day,] feature`` and the rest for g and d."""
+    code = F.floor(F.col("g") / 1000).cast("int")
+    name = F.when(code < len(OUTCOMES), F.element_at(F.array(*map(F.lit, OUTCOMES)), code + 1)).otherwise("None")
+    day = [F.date_add(F.lit("1970-01-01").cast("date"), F.col("d")).alias("day")] if "d" in coded.columns else []
+    return coded.select(name.alias("outcome"), *day, (F.col("g") % 1000).alias("feature"), *rest)
+
+
 def record_sketch(records: DataFrame, key: str = "rec_id", features: list[str] | None = None, accuracy: float = ACCURACY) -> DataFrame:
     """``outcome, day, feature, bucket, n, low, high`` of all feature cells of distinct records.
 
     Cells are counted in the task that reads them; files hold few days each, so little is left to shuffle.
     """
-    features = features or feature_names()
-    fixed = records.select(key, outcome_code("outcome").alias("o"), F.datediff(F.col("captured_at"), F.lit("1970-01-01")).alias("d"), *[present(c).cast("int").alias(c) for c in features])
-    cells = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(c).alias("v")) for i, c in enumerate(features)])
-    long = one_per_key(fixed, key).select("o", "d", F.explode(cells).alias("c")).select("o", "d", "c.feature", "c.v").where("v is not null")
-    buckets = sketch(long, ["o", "d", "feature"], "v", accuracy)
-    name = F.when(F.col("o") < len(OUTCOMES), F.element_at(F.array(*map(F.lit, OUTCOMES)), F.col("o") + 1)).otherwise("None")
-    return buckets.select(name.alias("outcome"), F.date_add(F.lit("1970-01-01").cast("date"), F.col("d")).alias("day"), "feature", "bucket", "n", "low", "high")
+    return _decoded(_coded_sketch(records, key, features or feature_names(), accuracy), "bucket", "n", "low", "high")
 
 
 def record_percentiles(records: DataFrame, accuracy: float = ACCURACY) -> DataFrame:
     """``level, outcome, day, feature, pct, value, rank_low, rank_high, rank_error, n_values``, per outcome (``level='all'``, day null) and per
     outcome and capture day (``level='day'``). The first comes from the day sketches by addition."""
-    days = record_sketch(records, accuracy=accuracy)
-    per_day = percentiles(days, ["outcome", "day", "feature"], PERCENTILES, accuracy)
-    whole = percentiles(combine(days, keys=["outcome", "feature"]), ["outcome", "feature"], PERCENTILES, accuracy)
-    columns = ["level", "outcome", "day", "feature", "pct", "value", "rank_low", "rank_high", "rank_error", "n_values"]
-    return whole.withColumns({"level": F.lit("all"), "day": F.lit(None).cast("date")}).select(columns).unionByName(per_day.withColumn("level", F.lit("day")).select(columns))
+    days = _coded_sketch(records, "rec_id", feature_names(), accuracy)
+    rest = ("pct", "value", "rank_low", "rank_high", "rank_error", "n_values")
+    per_day = _decoded(percentiles(days, ["g", "d"], PERCENTILES, accuracy), *rest).withColumn("level", F.lit("day"))
+    whole = _decoded(percentiles(combine(days, keys=["g"]), ["g"], PERCENTILES, accuracy), *rest).withColumns({"level": F.lit("all"), "day": F.lit(None).cast("date")})
+    columns = ["level", "outcome", "day", "feature", *rest]
+    return whole.select(columns).unionByName(per_day.select(columns))
