@@ -618,7 +618,8 @@ def strain_totals(s, d):
 
 @query("select a.rec_id, b.mm_id, a.image from (select distinct image, rec_id from records where data_split = 'test') a join (select distinct image, mm_id from measurements where image is not null) b on a.image = b.image")
 def same_name(s, d):
-    a = table(s, d, "records").where("data_split = 'test'").select("image", "rec_id").distinct()
+    """Whole listings of both tables. The SQL beside it still has the test split only, so the two differ by the pairs of all other splits."""
+    a = table(s, d, "records").select("image", "rec_id").distinct()
     b = table(s, d, "measurements").where("image is not null").select("image", "mm_id").distinct()
     return joins.same_name(a, b, "image")
 

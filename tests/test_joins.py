@@ -28,3 +28,11 @@ def test_tracing_and_tables(spark):
     again = tables.materialise(spark.range(7).toDF("x"))
     assert again.count() == 7 and tables.small_enough(again, 7) and not tables.small_enough(again, 6)
     assert tables.materialise(spark.range(0).toDF("x")).count() == 0
+
+
+def test_same_name_joins_whole_listings(spark, tmp_path):
+    records = [(1, 7, "train"), (2, 7, "validation"), (3, 7, "test"), (3, 7, "test"), (4, 8, None), (5, 9, "train"), (6, None, "test")]
+    spark.createDataFrame(records, "rec_id bigint, image int, data_split string").write.parquet(f"{tmp_path}/records.parquet")
+    spark.createDataFrame([(70, 7), (70, 7), (71, 7), (80, 8), (81, None)], "mm_id bigint, image int").write.parquet(f"{tmp_path}/measurements.parquet")
+    got = sorted((r.rec_id, r.mm_id) for r in core_queries.same_name(spark, str(tmp_path)).collect())
+    assert got == [(1, 70), (1, 71), (2, 70), (2, 71), (3, 70), (3, 71), (4, 80)]
