@@ -48,6 +48,8 @@ def _route(splits: dict[int, tuple[str, int]], node: int, op: str) -> Column:
 
 
 LOCAL_ROWS = 200_000
+#: Up to this many records, all features of a node are searched at once; larger ones feature by feature, which takes less memory.
+AT_ONCE = 2_000
 
 
 def _impurity(counts: np.ndarray) -> float:
@@ -55,8 +57,30 @@ def _impurity(counts: np.ndarray) -> float:
     return 1 - float((counts.astype(float) ** 2).sum()) / (n * n) if n else 0.0
 
 
+def _small_split(x: np.ndarray, y: np.ndarray, classes: int, s: Settings) -> tuple[int, int] | None:
+    """As ``_local_split``, all features in one pass over sorted columns; missing cells sort last."""
+    order = np.argsort(x, axis=0)
+    v = np.take_along_axis(x, order, 0)
+    upto = ((y[order][:, :, None] == np.arange(classes)) & ~np.isnan(v)[:, :, None]).cumsum(0)
+    nl, total = upto.sum(2), upto[-1]
+    known = total.sum(1)
+    at, f = np.nonzero((v[:-1] != v[1:]) & (nl[:-1] > 0) & (nl[:-1] < known))
+    if not len(at):
+        return None
+    left, whole, nl, n = upto[at, f].astype(float), total[f].astype(float), nl[at, f], known[f]
+    gain = ((left**2).sum(1) / nl + ((whole - left) ** 2).sum(1) / (n - nl) - (whole**2).sum(1) / n) / n
+    q = np.where(gain > 0, np.floor(gain * s.quantum), -1)
+    if q.max() < 0:
+        return None
+    values = v[at if s.op == "le" else at + 1, f]
+    pick = max if s.tie == "last" else min
+    return pick((int(f[i]), int(values[i])) for i in np.flatnonzero(q == q.max()))
+
+
 def _local_split(x: np.ndarray, y: np.ndarray, classes: int, s: Settings) -> tuple[int, int] | None:
     """The best split of one node's records (missing cells are NaN) by the rules of ``stats``."""
+    if len(y) <= AT_ONCE:
+        return _small_split(x, y, classes, s)
     best, sign = None, 1 if s.tie == "last" else -1
     for f in range(x.shape[1]):
         known = ~np.isnan(x[:, f])

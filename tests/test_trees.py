@@ -1,10 +1,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from pixelgrove.operators import forest, stats
-from pixelgrove.plans import train
+from pixelgrove.plans import core_queries, train
 from pixelgrove.schema import Settings
 
 FEATURES = ["f0", "f1", "f2"]
@@ -134,3 +135,24 @@ def test_structure(spark):
     assert forest.unlinked(df).count() == 0 and forest.unlinked(df.where("node_id < 3")).count() >= 1
     with pytest.raises(ValueError):
         forest.preorder([nodes[0] | {"kind": "D", "true_id": 1, "false_id": 1}])
+
+
+def test_registered_tree_grows_until_nothing_is_left_to_split(spark, tmp_path):
+    records = [(i, 0, 0, "s", "train", "Head" if i % 2 else "Neck", 0, *([i] + [0] * 25)) for i in range(60)]
+    cells = ", ".join(f"f{i} int" for i in range(26))
+    spark.createDataFrame(records, f"rec_id bigint, image int, batch_id int, sensor_id string, data_split string, outcome string, label int, {cells}").write.parquet(f"{tmp_path}/records.parquet")
+    nodes = {r.node_id: r for r in core_queries.train_tree(spark, str(tmp_path)).collect()}
+    assert {tuple(x.probability for x in r.results) for r in nodes.values() if r.kind == "R"} == {(1.0,)}
+    depth = lambda k: 1 + max(depth(nodes[k].true_id), depth(nodes[k].false_id)) if nodes[k].kind == "D" else 0
+    assert len(nodes) == 119 and depth(1) > 8
+
+
+@pytest.mark.parametrize("op, tie", [("le", "last"), ("lt", "first")])
+def test_both_searches_of_a_node_agree(op, tie, monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(-5, 12, (300, 4)).astype(float), rng.integers(0, 3, 300)
+    x[rng.random(x.shape) < 0.15] = np.nan
+    s = Settings(op=op, tie=tie)
+    at_once = train.subtree(x, y, 3, 1, s)
+    monkeypatch.setattr(train, "AT_ONCE", 0)
+    assert len(at_once) > 100 and train.subtree(x, y, 3, 1, s) == at_once
