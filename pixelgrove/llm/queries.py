@@ -64,6 +64,12 @@ def p5_report(s, d):
     return sampling.draw(table(s, d, "records"), table(s, d, "targets"))[1]
 
 
+def p5_balance(s, d):
+    """Drawn shares against ``target_pct`` and drawn totals against ``n_wanted``, per batch and outcome."""
+    targets = table(s, d, "targets")
+    return sampling.balance(sampling.draw(table(s, d, "records"), targets)[0], targets)
+
+
 def p6_found(s, d):
     return overlap.record_pairs(table(s, d, "records"))
 

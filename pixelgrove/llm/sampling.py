@@ -1,13 +1,17 @@
 """A sample whose category shares follow given targets, drawn by the cube method.
 
-Every record has an inclusion probability: wanted number of its (batch, category) cell over available number, at most 1. The
+Every record has an inclusion probability: size of its (batch, category) cell in the sample over available number. The
 balancing equations are the indicators of the cells, so a flight step moves two undecided records of one cell along (1, -1) until
 one of them is decided; every equation stays satisfied. Flights run per task, each leaving at most one undecided record per cell;
 these merge upward into ever fewer tasks (a level is a shuffle of at most cells x tasks rows), until one is left per cell. Landing
 drops the cell equations and keeps the batch totals: undecided records of one batch are paired across cells, and a last one is
-drawn at its probability. The report states wanted, available and drawn numbers and the residual imbalance.
+drawn at its probability. The report states wanted, available and drawn numbers and the residual imbalance; ``balance`` sets drawn
+shares against ``target_pct`` and drawn totals against ``n_wanted``.
 
-A cell wants the larger of ``min_rows`` and ``target_pct * n_wanted / 100``. Randomness is a hash of key and seed: the same sample
+A cell wants the larger of ``min_rows`` and ``target_pct * n_wanted / 100``; its size in the sample is set per batch (``cell_sizes``), so that
+all cells together have ``n_wanted`` records: minima first, the rest by ``target_pct`` among cells with records left. The share that a batch's
+targets leave open (100 less their sum) is drawn from its outcomes without target. Only minima that exceed ``n_wanted`` by themselves make a
+sample larger, only a lack of records makes it smaller. Randomness is a hash of key and seed: the same sample
 at every run, whatever the partitioning of the input, is not promised, an exact balance is. Defined results: repeated target rows
 count once (of unequal ones the largest wish); null batches, categories or numbers are no targets; records delivered twice count
 once; records without one of the six outcomes are never drawn; a cell without records is reported short with 0 available.
@@ -33,6 +37,52 @@ def wishes(targets: DataFrame) -> DataFrame:
     return named.where("batch_id is not null and outcome is not null and wanted is not null").groupBy("batch_id", "outcome").agg(F.max("wanted").alias("wanted"))
 
 
+def goals(targets: DataFrame) -> DataFrame:
+    """``batch_id, outcome, pct double, low double, n double``: share, minimum and size of the batch's sample, one row per listed cell."""
+    cells = targets.join(wishes(targets).select("batch_id").distinct(), "batch_id", "left_semi").withColumn("outcome", outcome_name("outcome")).where("outcome is not null")
+    size = cells.groupBy("batch_id").agg(F.max("n_wanted").cast("double").alias("n"))
+    zero = lambda c: F.coalesce(F.max(c), F.lit(0)).cast("double")
+    return cells.groupBy("batch_id", "outcome").agg(zero("target_pct").alias("pct"), zero("min_rows").alias("low")).join(size, "batch_id").fillna(0.0, ["n"])
+
+
+def fill(weight: np.ndarray, low: np.ndarray, high: np.ndarray, goal: float) -> np.ndarray:
+    """``clip(x * weight, low, high)`` with the one x that gives the sum ``goal``, or the nearest sum that there is."""
+    low = np.minimum(low, high)
+    if low.sum() >= goal or not (weight > 0).any():
+        return low
+    on = weight > 0
+    turns = np.unique(np.concatenate([low[on] / weight[on], high[on] / weight[on]]))
+    at = lambda x: np.where(on, np.clip(x * weight, low, high), low)
+    sums = np.array([at(x).sum() for x in turns])
+    if sums[-1] <= goal:
+        return np.where(on, high, low)
+    k = int(np.searchsorted(sums, goal, side="right"))  # at least 1, as the first sum is that of low; sums grow linearly between turns
+    return at(turns[k - 1] + (turns[k] - turns[k - 1]) * (goal - sums[k - 1]) / (sums[k] - sums[k - 1]))
+
+
+def cell_sizes(pct: np.ndarray, low: np.ndarray, available: np.ndarray, n: float, listed: np.ndarray) -> np.ndarray:
+    """Numbers to draw from one batch's cells; ``pct`` and ``low`` count for listed cells only."""
+    out, share = np.zeros(len(pct)), min(1.0, pct[listed].sum() / 100)
+    own = np.minimum(np.maximum(low[listed], pct[listed] * n / 100), available[listed]).sum()
+    out[listed] = fill(pct[listed], low[listed], available[listed], min(n, max(own, n * share)))
+    left = max(0.0, min(n - out.sum(), n * (1 - share)))
+    out[~listed] = fill(available[~listed], np.zeros((~listed).sum()), available[~listed], left)
+    return out
+
+
+def _sized(frames):
+    """Cells of whole batches with ``size``."""
+    frames = [f for f in frames if len(f)]
+    if not frames:
+        return
+    pdf = pd.concat(frames, ignore_index=True)
+    size = np.zeros(len(pdf))
+    pct, low, n, available, listed = (pdf[c].to_numpy(kind) for c, kind in (("pct", float), ("low", float), ("n", float), ("available", float), ("listed", bool)))
+    for at in pdf.groupby("batch_id", sort=False).indices.values():
+        size[at] = cell_sizes(pct[at], low[at], available[at], float(n[at].max()), listed[at])
+    yield pdf[["batch_id", "outcome", "available"]].assign(size=size)
+
+
 def distinct_labels(records: DataFrame) -> DataFrame:
     """``rec_id, batch_id, outcome`` of distinct records with one of the six outcomes."""
     rows = records.select("rec_id", F.col("batch_id").cast("int").alias("batch_id"), outcome_name("outcome").alias("outcome"))
@@ -116,12 +166,18 @@ def _land(frames, seed: int):
 def draw(records: DataFrame, targets: DataFrame, seed: int = 1, fan_in: int = 16) -> tuple[DataFrame, DataFrame]:
     """``(sample, report)``: sample ``batch_id, outcome, rec_id``; report ``batch_id, outcome, wanted, available, drawn, residual, short``.
 
-    ``residual`` is drawn less what could be drawn, below 1 in size for every cell.
+    ``residual`` is drawn less what could be drawn of what the cell wants by itself: below 0 where records went back to keep to the batch's
+    ``n_wanted``, above where the cell stands in for others. The report has listed cells only.
     """
     cells = materialise(distinct_labels(records))
     available = cells.groupBy("batch_id", "outcome").agg(F.count("*").alias("available"))
     wanted = materialise(wishes(targets).join(available, ["batch_id", "outcome"], "left").select("batch_id", "outcome", "wanted", F.coalesce("available", F.lit(0)).alias("available")))
-    rows = cells.join(wanted.where("available > 0 and wanted > 0"), ["batch_id", "outcome"]).select("batch_id", "outcome", "rec_id", F.least(F.lit(1.0), F.col("wanted") / F.col("available")).alias("p"))
+    goal = materialise(goals(targets))
+    size = goal.groupBy("batch_id").agg(F.max("n").alias("n"))
+    known = available.join(goal.drop("n").withColumn("listed", F.lit(True)), ["batch_id", "outcome"], "full").join(size, "batch_id")
+    known = known.fillna(0, ["available", "pct", "low"]).fillna(False, ["listed"])
+    sized = materialise(known.repartition("batch_id").mapInPandas(_sized, "batch_id int, outcome string, available bigint, size double"))
+    rows = cells.join(sized.where("size > 0"), ["batch_id", "outcome"]).select("batch_id", "outcome", "rec_id", F.least(F.lit(1.0), F.col("size") / F.col("available")).alias("p"))
     done = []
     for level, spread in enumerate((None, fan_in, 1)):
         if spread == 1:
@@ -143,3 +199,18 @@ def draw(records: DataFrame, targets: DataFrame, seed: int = 1, fan_in: int = 16
         (F.col("available") < F.col("wanted")).alias("short"),
     )
     return sample, report
+
+
+def balance(sample: DataFrame, targets: DataFrame) -> DataFrame:
+    """``batch_id, outcome, target_pct, drawn, drawn_pct, n_wanted, batch_drawn``: shares and totals of a sample against its targets.
+
+    Outcomes drawn without a target have a null ``target_pct``; a batch without any record drawn has a null ``drawn_pct``.
+    """
+    goal = goals(targets)
+    drawn = sample.groupBy("batch_id", "outcome").agg(F.count("*").alias("drawn"))
+    cells = goal.select("batch_id", "outcome", F.col("pct").alias("target_pct")).join(drawn, ["batch_id", "outcome"], "full")
+    totals = goal.groupBy("batch_id").agg(F.max("n").cast("bigint").alias("n_wanted")).join(sample.groupBy("batch_id").agg(F.count("*").alias("all")), "batch_id", "left")
+    got, every = F.coalesce("drawn", F.lit(0)), F.coalesce("all", F.lit(0))
+    return cells.join(totals, "batch_id").select(
+        "batch_id", "outcome", "target_pct", got.alias("drawn"), F.round(100 * got / F.when(every > 0, every), 6).alias("drawn_pct"), "n_wanted", every.alias("batch_drawn")
+    )

@@ -50,3 +50,37 @@ def test_empty(spark):
     assert sample.collect() == [] and report.collect()[0].short
     sample, report = sampling.draw(spark.createDataFrame([(1, 1, "Head", 0)], RECORDS), spark.createDataFrame([], TARGETS))
     assert sample.collect() == [] and report.collect() == []
+
+
+def test_a_batch_draws_what_it_wants_in_all(spark):
+    outcomes = ("Other", "Head", "Neck", "Sternum")
+    have = {1: (900, 200, 200, 0), 2: (900, 60, 5, 0), 3: (900, 500, 500, 0), 4: (30, 30, 30, 30), 5: (20, 10, 0, 0), 6: (500, 500, 0, 0)}
+    rows = [(b * 10000 + k * 1000 + i, b, o, 0) for b, n in have.items() for k, o in enumerate(outcomes) for i in range(n[k])]
+    targets = [
+        (1, "Other", 80, 200, 0), (1, "Head", 10, 200, 60), (1, "Neck", 10, 200, 40),  # minima above the shares: Other gives 60
+        (2, "Other", 50, 200, 0), (2, "Head", 30, 200, 0), (2, "Neck", 20, 200, 0),  # Neck has 5 of 40: the others take 35
+        (3, "Other", 40, 100, 0), (3, "Head", 30, 100, 0),  # 30 % left to Neck
+        (4, "Other", 50, 40, 30), (4, "Head", 50, 40, 30),  # minima exceed n_wanted
+        (5, "Other", 50, 100, 0), (5, "Head", 50, 100, 0),  # not enough records
+        (6, "Other", 40, 100, 0), (6, "Head", 40, 100, 0), (6, "Sternum", 20, 100, 0),  # none of Sternum: the others take its share
+    ]
+    records, targets = spark.createDataFrame(rows, RECORDS).repartition(5), spark.createDataFrame(targets, TARGETS)
+    sample, report = sampling.draw(records, targets, seed=3)
+    n = Counter((r.batch_id, r.outcome) for r in sample.collect())
+    assert Counter(b for b, _ in n.elements()) == {1: 200, 2: 200, 3: 100, 4: 60, 5: 30, 6: 100}
+    assert n == {(1, "Other"): 100, (1, "Head"): 60, (1, "Neck"): 40, (2, "Other"): 135, (2, "Head"): 60, (2, "Neck"): 5, (3, "Other"): 40, (3, "Head"): 30, (3, "Neck"): 30, (4, "Other"): 30, (4, "Head"): 30, (5, "Other"): 20, (5, "Head"): 10, (6, "Other"): 50, (6, "Head"): 50}
+    said = {(r.batch_id, r.outcome): r for r in sampling.balance(sample, targets).collect()}
+    assert {k: r.drawn for k, r in said.items() if r.drawn} == n and said[1, "Other"].drawn_pct == 50.0 and said[1, "Other"].target_pct == 80.0
+    assert said[3, "Neck"].target_pct is None and (said[4, "Head"].n_wanted, said[4, "Head"].batch_drawn) == (40, 60)
+    assert {(r.batch_id, r.outcome) for r in report.where("short").collect()} == {(2, "Neck"), (5, "Other"), (5, "Head"), (6, "Sternum")}
+    assert {r.residual for r in report.collect() if r.batch_id == 1} == {-60.0, 0.0}
+
+
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 60), st.integers(0, 200)), min_size=1, max_size=6), st.integers(0, 400))
+@settings(max_examples=200, deadline=None)
+def test_cells_fill_up_to_the_goal(cells, goal):
+    weight, low, high = (np.array(c, float) for c in zip(*cells, strict=True))
+    s, least = sampling.fill(weight, low, high, goal), np.minimum(low, high)
+    most = np.where(weight > 0, high, least).sum()
+    assert (s >= least - 1e-9).all() and (s <= high + 1e-9).all()
+    assert abs(s.sum() - min(max(goal, least.sum()), max(most, least.sum()))) < 1e-6
