@@ -24,7 +24,7 @@ N_MEASUREMENTS = 18
 STRAIN_COLUMNS = ("neck_left", "neck_back", "neck_right", "neck_front", "upper_left", "upper_back", "upper_right", "upper_front")
 #: Entries of the dictionary that may be broadcast (under 100 bytes each but for broken cells; see ``MAX_CELL``).
 DICTIONARY_ROWS = 100_000
-#: A cell longer than this cannot be valid; it is named by this many characters and stays out of the dictionary.
+#: A cell longer than this is judged in its line and stays out of the dictionary; an invalid one is named by this many characters.
 MAX_CELL = 400
 SALTS = 16
 
@@ -50,22 +50,23 @@ def framed(lines: DataFrame) -> DataFrame:
     fits = F.when(knowledge, F.col("_t").rlike(_FRAMES["knowledge"])).when(strains, F.col("_t").rlike(_FRAMES["strains"]))
     cut = once.withColumn("_t", text).withColumn("_fits", fits)
     cut = cut.withColumns({"_first": part(1), "_a": F.split(part(2), ",", -1), "_b": F.split(part(3), ",", -1)}).withColumn("_m", F.when(knowledge, F.split("_first", ",", -1)))
-    longest = lambda c: F.exists(c, lambda x: F.length(x) > MAX_CELL)
+    broken = lambda x, kind: (F.length(x) > MAX_CELL) & cast_reason(F.lit(kind), x).isNotNull()
+    longest = lambda c, kind: F.exists(c, lambda x: broken(x, kind))
     structure = (
         F.when(F.col("_fits").isNull(), "unknown kind")
         .when(~F.col("_fits"), "frame")
         .when(knowledge & (F.size("_m") != N_MEASUREMENTS), "number of measurements")
         .when((F.size("_a") != 4) | (F.size("_b") != 4), "number of strains")
     )
-    return cut.withColumn("_structure", structure).drop("_t", "_fits").withColumn("_long", F.coalesce(longest("_m") | (F.length("_first") > MAX_CELL) & strains, F.lit(False)) | longest("_a") | longest("_b"))
+    return cut.withColumn("_structure", structure).drop("_t", "_fits").withColumn("_long", F.coalesce(F.when(strains, broken(F.col("_first"), "image")).otherwise(longest("_m", "number")), F.lit(False)) | longest("_a", "strain") | longest("_b", "strain"))
 
 
 def cells(cut: DataFrame) -> DataFrame:
-    """``line_id, pos, type, raw`` of structurally sound lines."""
+    """``line_id, pos, type, raw`` of structurally sound lines, without cells over ``MAX_CELL``, which are judged already."""
     image = F.when(F.col("kind") == "strains", F.array("_first"))
     tagged = lambda c, kind, at: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, i: F.struct((i + at).cast("int").alias("pos"), F.lit(kind).alias("type"), x.alias("raw")))
     every = F.concat(tagged(image, "image", 0), tagged(F.col("_m"), "number", 1), tagged(F.concat("_a", "_b"), "strain", 1 + N_MEASUREMENTS))
-    return cut.where("_structure is null and not _long").select("line_id", F.explode(every).alias("c")).select("line_id", "c.pos", "c.type", "c.raw")
+    return cut.where("_structure is null and not _long").select("line_id", F.explode(every).alias("c")).select("line_id", "c.pos", "c.type", "c.raw").where(F.length("raw") <= MAX_CELL)
 
 
 def cast_reason(kind: Column, raw: Column) -> Column:

@@ -67,3 +67,17 @@ def test_against_a_pattern(spark):
 
 def test_empty(spark):
     assert rejects.rejected(frame(spark, [])).collect() == [] and rejects.loaded(frame(spark, [])).collect() == []
+
+
+def test_long_cells_are_judged_by_their_form(spark):
+    tail = "S(P(0,1,2,0),P(0,0,0,0))"
+    numbers = lambda first, last="1": f"MS(M({','.join([first, *['1'] * 16, last])});{tail})"
+    lines = [
+        (1, "strains", "0" * 500 + "7;" + tail), (2, "strains", "0" * 500 + ";" + tail), (3, "knowledge", numbers("0." + "3" * 600)), (4, "knowledge", numbers("3" * 600 + "x")),
+        (5, "knowledge", numbers("0" * 500 + "2", "y")), (6, "strains", "7;S(P(" + "0" * 500 + ",1,2,0),P(0,0,0,0))"),
+    ]
+    df = spark.createDataFrame([(i, k, "f", 1, x) for i, k, x in lines], "line_id bigint, kind string, file_name string, line_no int, line string")
+    good = {r.line_id: r for r in rejects.loaded(df).collect()}
+    assert set(good) == {1, 3} and good[1].image == 7 and abs(good[3].mm[0] - 1 / 3) < 1e-12
+    said = {r.line_id: r.reason for r in rejects.rejected(df).collect()}
+    assert said == {2: "cell too long", 4: "cell too long", 5: "measurement is not a number", 6: "cell too long"}
