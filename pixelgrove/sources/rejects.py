@@ -5,12 +5,13 @@ Blanks, tabs and carriage returns at both ends and then one enclosing pair of do
 ``)`` may be absent; nothing else may stand anywhere.
 
 Structure (frame, number of columns) is judged line by line. Cells are judged by a dictionary: every distinct (type, text) is cast
-once, those that cannot be cast form a dictionary with reasons, and it is joined back to the cells. A small dictionary is
-broadcast; a large one is joined by shuffle with the text salted, so that a value that fills a third of all cells is spread.
+once, those that cannot be cast form a dictionary with reasons, and it is joined back to the cells. Texts over ``WHOLE`` characters stand in
+it by their hash, so that an entry's size is bounded while cells may have any length. A small dictionary is broadcast; a large one is
+joined by shuffle with the text salted, so that a value that fills a third of all cells is spread.
 
 Defined results: null and blank lines are neither loaded nor rejected; a line whose kind is null or unknown is rejected
-(``unknown kind``); lines delivered twice count once; a number beyond the range of double is read as infinity. Further columns of the
-input are ignored, whatever their names.
+(``unknown kind``); lines delivered twice count once, of unequal deliveries the least by kind, file, line number and text, nulls first; a number
+beyond the range of double is read as infinity. Further columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import materialise, small_enough
+from ..plans.tables import broadcast_if_small, materialise, one_per_key, small_enough
 
 N_MEASUREMENTS = 18
 STRAIN_COLUMNS = ("neck_left", "neck_back", "neck_right", "neck_front", "upper_left", "upper_back", "upper_right", "upper_front")
-#: Entries of the dictionary that may be broadcast (under 100 bytes each but for broken cells; see ``MAX_CELL``).
+#: Entries of the dictionary that may be broadcast; none is over 150 bytes.
 DICTIONARY_ROWS = 100_000
-#: A cell longer than this is judged in its line and stays out of the dictionary; an invalid one is named by this many characters.
-MAX_CELL = 400
+#: A cell up to this length stands in the dictionary as it is, a longer one by its hash.
+WHOLE = 64
 SALTS = 16
 
 _AREA = r"P\(([^()]*)\)"
@@ -41,32 +42,36 @@ def stripped(line: Column) -> Column:
     return F.when(quoted, F.substring(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
 
 
+def _present(lines: DataFrame) -> DataFrame:
+    return lines.select("line_id", "kind", "file_name", "line_no", "line").where(F.col("line").isNotNull() & (F.btrim("line", F.lit(" \t\r")) != ""))
+
+
 def framed(lines: DataFrame) -> DataFrame:
-    """Distinct non-blank lines with their ``first``, ``upper`` and ``lower`` texts cut into cells and the structural reason, if any."""
-    once = lines.select("line_id", "kind", "file_name", "line_no", "line").where(F.col("line").isNotNull() & (F.btrim("line", F.lit(" \t\r")) != "")).dropDuplicates(["line_id"])
-    text = stripped(F.col("line"))
+    """Lines with their cells ``_c`` in order and the structural reason ``_structure``, if any.
+
+    One pass of the pattern per line: it turns a line into ``upper)lower)first``, of which ``)`` cannot occur in the first two.
+    """
     knowledge, strains = F.col("kind") == "knowledge", F.col("kind") == "strains"
-    part = lambda i: F.when(knowledge, F.regexp_extract("_t", _FRAMES["knowledge"], i)).when(strains, F.regexp_extract("_t", _FRAMES["strains"], i))
-    fits = F.when(knowledge, F.col("_t").rlike(_FRAMES["knowledge"])).when(strains, F.col("_t").rlike(_FRAMES["strains"]))
-    cut = once.withColumn("_t", text).withColumn("_fits", fits)
-    cut = cut.withColumns({"_first": part(1), "_a": F.split(part(2), ",", -1), "_b": F.split(part(3), ",", -1)}).withColumn("_m", F.when(knowledge, F.split("_first", ",", -1)))
-    broken = lambda x, kind: (F.length(x) > MAX_CELL) & cast_reason(F.lit(kind), x).isNotNull()
-    longest = lambda c, kind: F.exists(c, lambda x: broken(x, kind))
+    cut = lines.withColumn("_t", stripped(F.col("line")))
+    turned = F.when(knowledge, F.regexp_replace("_t", _FRAMES["knowledge"], "$2)$3)$1")).when(strains, F.regexp_replace("_t", _FRAMES["strains"], "$2)$3)$1"))
+    cut = cut.withColumn("_r", turned).withColumn("_p", F.when(F.length("_r") < F.length("_t"), F.split("_r", r"\)", 3)))  # a frame that fits loses its letters
+    a, b, first = (F.split(F.col("_p")[i], ",", -1) if i < 2 else F.col("_p")[i] for i in range(3))
+    cut = cut.withColumns({"_a": a, "_b": b, "_m": F.when(knowledge, F.split(first, ",", -1)).otherwise(F.array(first))})
     structure = (
-        F.when(F.col("_fits").isNull(), "unknown kind")
-        .when(~F.col("_fits"), "frame")
+        F.when(F.col("_r").isNull(), "unknown kind")
+        .when(F.col("_p").isNull(), "frame")
         .when(knowledge & (F.size("_m") != N_MEASUREMENTS), "number of measurements")
         .when((F.size("_a") != 4) | (F.size("_b") != 4), "number of strains")
     )
-    return cut.withColumn("_structure", structure).drop("_t", "_fits").withColumn("_long", F.coalesce(F.when(strains, broken(F.col("_first"), "image")).otherwise(longest("_m", "number")), F.lit(False)) | longest("_a", "strain") | longest("_b", "strain"))
+    return cut.withColumn("_structure", structure).withColumn("_c", F.when(F.col("_structure").isNull(), F.concat("_m", "_a", "_b"))).drop("_t", "_r", "_p", "_m", "_a", "_b")
 
 
 def cells(cut: DataFrame) -> DataFrame:
-    """``line_id, pos, type, raw`` of structurally sound lines, without cells over ``MAX_CELL``, which are judged already."""
-    image = F.when(F.col("kind") == "strains", F.array("_first"))
-    tagged = lambda c, kind, at: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, i: F.struct((i + at).cast("int").alias("pos"), F.lit(kind).alias("type"), x.alias("raw")))
-    every = F.concat(tagged(image, "image", 0), tagged(F.col("_m"), "number", 1), tagged(F.concat("_a", "_b"), "strain", 1 + N_MEASUREMENTS))
-    return cut.where("_structure is null and not _long").select("line_id", F.explode(every).alias("c")).select("line_id", "c.pos", "c.type", "c.raw").where(F.length("raw") <= MAX_CELL)
+    """``line_id, pos, type, key, long`` of structurally sound lines: ``key`` names the cell's text in the dictionary, ``long`` is the text if it is over ``WHOLE``."""
+    every = cut.where("_structure is null").select("line_id", "kind", F.posexplode("_c").alias("pos", "raw"))
+    kind = F.when(F.col("pos") >= F.when(F.col("kind") == "knowledge", N_MEASUREMENTS).otherwise(1), "strain").when(F.col("kind") == "knowledge", "number").otherwise("image")
+    long = F.length("raw") > WHOLE
+    return every.select("line_id", "pos", kind.alias("type"), F.when(long, F.concat(F.lit("#"), F.sha2("raw", 256))).otherwise(F.col("raw")).alias("key"), F.when(long, F.col("raw")).alias("long"))
 
 
 def cast_reason(kind: Column, raw: Column) -> Column:
@@ -78,23 +83,29 @@ def cast_reason(kind: Column, raw: Column) -> Column:
     return F.when(kind == "image", image).when(kind == "strain", strain).otherwise(number)
 
 
-def bad_cells(found: DataFrame) -> DataFrame:
-    """``line_id, pos, raw, reason`` of the cells in the dictionary of invalid values."""
-    dictionary = found.select("type", "raw").distinct().withColumn("reason", cast_reason(F.col("type"), F.col("raw"))).where("reason is not null")
-    dictionary = materialise(dictionary)  # invalid values only
-    if small_enough(dictionary, DICTIONARY_ROWS):
-        return found.join(F.broadcast(dictionary), ["type", "raw"])
-    salted = dictionary.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return found.withColumn("_s", F.pmod(F.xxhash64("line_id"), F.lit(SALTS)).cast("int")).join(salted, ["type", "raw", "_s"]).drop("_s")
+def dictionary(found: DataFrame) -> DataFrame:
+    """``type, key, reason`` of all distinct cells that have no value."""
+    distinct = found.select("type", "key", "long").distinct()
+    return materialise(distinct.select("type", "key", cast_reason(F.col("type"), F.coalesce("long", "key")).alias("reason")).where("reason is not null"))
+
+
+def bad_cells(found: DataFrame, invalid: DataFrame) -> DataFrame:
+    """``line_id, pos, reason`` of the cells in the dictionary of invalid values."""
+    found = found.drop("long")
+    if small_enough(invalid, DICTIONARY_ROWS):
+        return found.join(F.broadcast(invalid), ["type", "key"]).select("line_id", "pos", "reason")
+    salted = invalid.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return found.withColumn("_s", F.pmod(F.xxhash64("line_id"), F.lit(SALTS)).cast("int")).join(salted, ["type", "key", "_s"]).select("line_id", "pos", "reason")
 
 
 def judged(lines: DataFrame) -> DataFrame:
-    """Every distinct non-blank line with ``reason`` (null: valid) and ``detail`` (the first offending cell)."""
-    cut = framed(lines)
-    worst = bad_cells(cells(cut)).groupBy("line_id").agg(F.min(F.struct("pos", "raw", "reason")).alias("w"))
-    out = cut.join(worst, "line_id", "left")
-    reason = F.when(F.col("_structure").isNotNull(), F.col("_structure")).when(F.col("_long"), "cell too long").otherwise(F.col("w.reason"))
-    return out.withColumn("reason", reason).withColumn("detail", F.coalesce(F.col("w.raw"), F.substring("line", 1, MAX_CELL)))
+    """Every distinct non-blank line with ``reason`` (null: valid) and ``detail``, the first offending cell (null where the structure is at fault)."""
+    cut = materialise(framed(one_per_key(_present(lines), "line_id")))  # lines are cut once and read thrice
+    found = cells(cut)
+    worst = bad_cells(found, dictionary(found)).groupBy("line_id").agg(F.min(F.struct("pos", "reason")).alias("_w"))
+    worst = materialise(worst.select("line_id", "_w.pos", F.col("_w.reason").alias("_cell")))  # lines with an invalid cell only
+    out = cut.join(broadcast_if_small(worst), "line_id", "left")
+    return out.withColumn("reason", F.coalesce("_structure", "_cell")).withColumn("detail", F.get("_c", F.col("pos"))).drop("pos")
 
 
 def rejected(lines: DataFrame) -> DataFrame:
@@ -105,6 +116,8 @@ def rejected(lines: DataFrame) -> DataFrame:
 def loaded(lines: DataFrame) -> DataFrame:
     """``line_id, kind, file_name, line_no, image, mm`` and the eight strain columns of every valid line; image is null for knowledge, mm for strains."""
     good = judged(lines).where("reason is null")
-    codes = F.concat("_a", "_b")
-    image = F.when(F.col("kind") == "strains", F.try_to_number(F.lpad(F.regexp_replace("_first", r"\A0+", ""), 10, "0"), F.lit("9999999999")).cast("int"))
-    return good.select("line_id", "kind", "file_name", "line_no", image.alias("image"), F.transform("_m", lambda x: x.try_cast("double")).alias("mm"), *[codes[i].try_cast("int").alias(c) for i, c in enumerate(STRAIN_COLUMNS)])
+    strains, c = F.col("kind") == "strains", F.col("_c")
+    first = F.when(strains, 1).otherwise(N_MEASUREMENTS)
+    image = F.when(strains, F.try_to_number(F.lpad(F.regexp_replace(c[0], r"\A0+", ""), 10, "0"), F.lit("9999999999")).cast("int"))
+    mm = F.when(~strains, F.transform(F.slice("_c", 1, N_MEASUREMENTS), lambda x: x.try_cast("double")))
+    return good.select("line_id", "kind", "file_name", "line_no", image.alias("image"), mm.alias("mm"), *[F.get("_c", first + i).try_cast("int").alias(n) for i, n in enumerate(STRAIN_COLUMNS)])

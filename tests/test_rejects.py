@@ -7,7 +7,7 @@ BAD_STRAINS = {
     "0;S(P(0,0,0,0),P(0,0,0,0))": "image out of range", "2147483648;S(P(0,0,0,0),P(0,0,0,0))": "image out of range", "99999999999;S(P(0,0,0,0),P(0,0,0,0))": "image out of range",
     "x;S(P(0,0,0,0),P(0,0,0,0))": "image is not a number", "7;S(P(0,0,0),P(0,0,0,0))": "number of strains", "7;S(P(0,0,0,3),P(0,0,0,0))": "strain is not 0, 1 or 2", "7;S(P(0, 0,0,0),P(0,0,0,0))": "strain is not 0, 1 or 2",
     "7;S(P(0,0,0,0),P(0,0,0,0)))": "frame", "7;S(P(0,0,0,0))": "frame", "7;s(P(0,0,0,0),P(0,0,0,0))": "frame", "7;S(P(0,0,0,0),P(0,0,0,0))\n": "frame", '""': "frame", '"': "frame", "٣;S(P(0,0,0,0),P(0,0,0,0))": "image is not a number",
-    '"7;S("P(0,0,0,0),P(0,0,0,0))"': "frame", "7;S(P(0,²,0,0),P(0,0,0,0))": "strain is not 0, 1 or 2", "﻿7;S(P(0,0,0,0),P(0,0,0,0))": "image is not a number", "7" * 1000 + ";S(P(0,0,0,0),P(0,0,0,0))": "cell too long",
+    '"7;S("P(0,0,0,0),P(0,0,0,0))"': "frame", "7;S(P(0,²,0,0),P(0,0,0,0))": "strain is not 0, 1 or 2", "﻿7;S(P(0,0,0,0),P(0,0,0,0))": "image is not a number", "7" * 1000 + ";S(P(0,0,0,0),P(0,0,0,0))": "image out of range",
 }
 NUMBERS = ["1", "-2.5", "+3", "1e3", "1E-3", "2.50e+07", "0", "00.10", "1e999", "7", "7", "7", "7", "7", "7", "7", "7", "7"]
 BAD_NUMBERS = ["", "nan", "inf", "1.", ".5", "1e", "0x1F", "1,5", " 1", "１", "--1", "1.2.3"]
@@ -80,4 +80,13 @@ def test_long_cells_are_judged_by_their_form(spark):
     good = {r.line_id: r for r in rejects.loaded(df).collect()}
     assert set(good) == {1, 3} and good[1].image == 7 and abs(good[3].mm[0] - 1 / 3) < 1e-12
     said = {r.line_id: r.reason for r in rejects.rejected(df).collect()}
-    assert said == {2: "cell too long", 4: "cell too long", 5: "measurement is not a number", 6: "cell too long"}
+    assert said == {2: "image out of range", 4: "measurement is not a number", 5: "measurement is not a number", 6: "strain is not 0, 1 or 2"}
+    shown = {r.line_id: r.detail for r in rejects.rejected(df).collect()}
+    assert shown[2] == "0" * 500 and shown[4] == "3" * 600 + "x" and shown[5] == "y"
+
+
+def test_of_unequal_deliveries_one_is_taken(spark):
+    rows = [(1, "strains", "b", 1, "7;x"), (1, "strains", "a", 1, GOOD_STRAINS[0]), (2, "strains", "a", 2, None), (2, "strains", "a", 2, "y")]
+    df = spark.createDataFrame(rows, "line_id bigint, kind string, file_name string, line_no int, line string")
+    assert [(r.line_id, r.file_name) for r in rejects.loaded(df).collect()] == [(1, "a")]
+    assert [(r.line_id, r.reason) for r in rejects.rejected(df).collect()] == [(2, "frame")]
