@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import materialise, shared_dir, small_enough, table
+from ..plans.tables import BROADCAST_ROWS, broadcast_if_small, materialise, one_per_key, shared_dir, small_enough, table
 
-__all__ = ["N_FEATURES", "OUTCOMES", "feature_names", "materialise", "one_per_key", "outcome_code", "outcome_name", "present", "shared_dir", "small_enough", "table"]
+__all__ = ["BROADCAST_ROWS", "N_FEATURES", "OUTCOMES", "broadcast_if_small", "feature_names", "materialise", "one_per_key", "outcome_code", "outcome_name", "present", "shared_dir", "small_enough", "table"]
 
 N_FEATURES = 26
-#: Most keys (8 bytes each) that are sent to every task.
-BROADCAST_ROWS = 500_000
 OUTCOMES = ("LeftShoulder", "RightShoulder", "Head", "Neck", "Sternum", "Other")
 
 
@@ -36,20 +34,6 @@ def outcome_code(c: Column | str) -> Column:
     return F.when(at > 0, at - 1).otherwise(99)
 
 
-def one_per_key(df: DataFrame, key: str) -> DataFrame:
-    """One row per non-null key. Rows delivered once, nearly all, aren't shuffled.
-
-    Only the keys are aggregated first. If those delivered again are at most ``BROADCAST_ROWS``, they are sent to the tasks and only their rows
-    are deduplicated; otherwise all rows are.
-    """
-    keyed = df.where(F.col(key).isNotNull())
-    again = materialise(keyed.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key))
-    if not small_enough(again, BROADCAST_ROWS):
-        return keyed.dropDuplicates([key])
-    marked = F.broadcast(again)
-    return keyed.join(marked, key, "left_anti").unionByName(keyed.join(marked, key, "left_semi").dropDuplicates([key]))
-
-
 def present(c: Column | str) -> Column:
     """A feature cell, with both spellings of a missing one (null and -1) as null."""
     c = F.col(c) if isinstance(c, str) else c

@@ -35,13 +35,14 @@ def p2_found(s, d):
 
 
 def p2_neighbours(s, d):
-    return neighbours.knn(_vectors(s, d))
+    return neighbours.knn(_vectors(s, d)).withColumn("dist", F.round("dist", 6))
 
 
 def p2_recall(s, d):
-    """One row: the reach of the index, its recall against brute force for the fit's queries, and how many queries were answered exactly."""
-    info = neighbours.knn_points(materialise(neighbours.points(_vectors(s, d), 5)), 5)[1]
-    return s.createDataFrame([(float(info["reach"]), float(info["recall"]), int(info.get("exactly_answered", 0)))], "reach double, recall double, exactly_answered bigint")
+    """One row: recall against brute force on queries the fit hasn't seen, the index's median reach, and how many queries were left after each round."""
+    share, asked, info = neighbours.recall(_vectors(s, d))
+    row = (int(info["points"]), int(asked), float(share), float(info["reach"]), [int(n) for n in info["left"]], int(info["exactly_answered"]))
+    return s.createDataFrame([row], "points bigint, held_out bigint, recall double, reach double, left_after_round array<bigint>, exactly_answered bigint")
 
 
 def p3_percentiles(s, d):
@@ -182,6 +183,7 @@ def oracle_sql():
     return {
         "p1_frequencies": frequencies,
         "p1_found": f"select src, feature, val from ({frequencies}) where mark <> 'useful'",
+        "p2_neighbours": f"with {_KNN} select id, neighbour, round(dist, 6) dist, cast(rank as integer) rank from n",
         "p2_found": f"with {_KNN} select distinct least(id, neighbour) mm_id_a, greatest(id, neighbour) mm_id_b from n",
         "p3_percentiles": _percentiles(),
         "p5_found": _SHORT,
