@@ -1,10 +1,12 @@
 """Filling containers of fixed capacity with items of varying length.
 
 Pattern packing. The histogram of item lengths (at most ``capacity`` entries, whatever the number of items) goes to the driver.
-There, patterns of few distinct length bins that fill a container are enumerated, their repeat counts are fitted to the histogram
-by non-negative least squares; ``SHARE`` of them, rounded down, is used, and what is left is packed best-fit into the slack of the pattern
-containers and into new ones. Patterns leave ``GAP`` of a typical length free, since a document that fits a gap exactly is easily found
-among those left, and a small gap can't be filled at all. All of it works on counts: items of one length are interchangeable. The result is a plan of intervals
+There, patterns of a few documents are enumerated: a body of up to two distinct length bins, and one closing document that fills what the body
+leaves. Repeat counts of all patterns are fitted to the histogram, closing documents included, by non-negative least squares, and rounded down.
+Bodies are laid out first. Then each gap, whose exact size is known by now, is closed by the longest document that fits. Since the fit has set
+aside as many closing documents of each bin as there are gaps, one of nearly the exact length is there for most. Containers still emptier than
+``TOLERANCE`` are taken apart again, and what is left is fitted anew; after ``ROUNDS`` the residue is packed best-fit. All of it works on counts: items
+and containers of equal contents are interchangeable. The result is a plan of intervals
 
     items number ``first`` .. ``last`` of length L go to containers ``container``, ``container + 1``, ..., ``each`` to a container
 
@@ -18,7 +20,7 @@ no row. Equal lengths are told apart by key and piece number; repeated keys are
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections import defaultdict
+from collections import defaultdict, deque
 
 import numpy as np
 import pandas as pd
@@ -31,8 +33,9 @@ from .common import materialise
 
 CAPACITY = 8192
 BINS = 64
-#: Part of the fitted repeat counts that is used, and of a typical length that a pattern leaves free.
-SHARE, GAP = 0.5, 0.5
+ROUNDS = 4
+#: Part of the capacity that may stay unused in a container filled by a pattern.
+TOLERANCE = 1 / 512
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -63,117 +66,150 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
     return x
 
 
-def patterns(present: np.ndarray, bins: int, rows: int, distinct: int = 3) -> np.ndarray:
-    """Columns (of ``rows`` bins) of repeat counts of up to ``distinct`` different bins whose upper bounds fill ``bins`` exactly, or nearly by one bin."""
-    lengths = [int(i) for i in present]
-    pairs = [(i, m) for i in lengths for m in range(1, bins // i + 1)]
-    found: set[tuple] = set()
-    for i, m in pairs:
-        if bins - i < i * m <= bins:
-            found.add(((i, m),))
-    for a, (i, m) in enumerate(pairs):
-        for j, k in pairs[a + 1 :]:
-            rest = bins - i * m - j * k
-            if j == i or rest < 0:
-                continue
-            if rest == 0:
-                found.add(((i, m), (j, k)))
-            elif distinct > 2 and m <= 4 and k <= 4:
-                for h in lengths:
-                    if h > j and rest % h == 0:
-                        found.add(((i, m), (j, k), (h, rest // h)))
-    out = np.zeros((rows, len(found)), np.float32)
-    for c, p in enumerate(sorted(found)):
-        for i, m in p:
-            out[i, c] = m
-    return out
+def patterns(want: np.ndarray, mean: np.ndarray, width: int, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bodies of up to two distinct bins, and what each pattern uses of every bin, its closing document included: two matrices with a row per bin.
 
+    ``want`` and ``mean`` are number and mean length of each bin's documents. Bodies never exceed the capacity, even with the longest
+    documents of their bins; the closing document's expected length is divided between the two nearest bins.
+    """
+    present = [int(k) for k in np.flatnonzero(want)]
+    pairs = [(k, m) for k in present for m in range(1, capacity // (k * width) + 1)]
+    bodies: list[dict[int, int]] = [{}, *({k: m} for k, m in pairs)]
+    bodies += [{i: m, j: n} for a, (i, m) in enumerate(pairs) for j, n in pairs[a + 1 :] if j != i and (i * m + j * n) * width <= capacity]
+    body = np.zeros((len(want), len(bodies)), np.float32)
+    for c, p in enumerate(bodies):
+        for k, m in p.items():
+            body[k, c] = m
+    gap = capacity - mean @ body
+    centres = mean[present]
+    whole = (gap >= centres[0]) & (gap <= centres[-1])  # such a document exists
+    body, gap = body[:, whole], gap[whole]
+    at = np.clip(np.searchsorted(centres, gap), 1, max(1, len(present) - 1))
+    low, high = np.array(present)[at - 1], np.array(present)[np.minimum(at, len(present) - 1)]
+    part = np.clip((gap - mean[low]) / np.maximum(mean[high] - mean[low], 1e-9), 0, 1)
+    used, columns = body.copy(), np.arange(len(gap))
+    np.add.at(used, (low, columns), 1 - part)
+    np.add.at(used, (high, columns), part)
+    return body, used
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, bins: int = BINS, share: float = SHARE, gap: float = GAP) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Intervals ``(length, first, last (exclusive), container, each)`` for a histogram of lengths 1..capacity, and the number of containers."""
-    left = {int(k): int(v) for k, v in histogram.items() if v > 0}
-    if not left:
-        return [], 0
-    if min(left) < 1 or max(left) > capacity:
-        raise ValueError("lengths must be between 1 and the capacity")
-    done: dict[int, int] = defaultdict(int)
-    out: list[tuple[int, int, int, int, int]] = []
-    used = 0
-    slacks: dict[int, list[tuple[int, int]]] = defaultdict(list)  # slack -> (first container, how many)
-
-    def take(length: int, n: int, container: int, each: int) -> None:
-        out.append((length, done[length], done[length] + n, container, each))
-        done[length] += n
-        left[length] -= n
-        if not left[length]:
-            del left[length]
 
+#: Containers of equal contents: how many, unused space of each, contents as (length, how many).
+Group = tuple[int, int, tuple[tuple[int, int], ...]]
+
+
+def _bodies(left: dict[int, int], capacity: int, bins: int) -> list[Group]:
+    """Bodies by the fitted repeat counts; their documents are taken out of ``left``."""
     width = -(-capacity // min(bins, capacity))
-    bins = capacity // width  # whole bins never exceed the capacity; a length beyond them is left to the second step
-    pools: dict[int, list[int]] = defaultdict(list)
-    want = np.zeros(bins + 1)
+    bins = capacity // width  # whole bins never exceed the capacity; a length beyond them is left to the residue
+    pools: dict[int, deque[int]] = defaultdict(deque)
+    want, total = np.zeros(bins + 1), np.zeros(bins + 1)
     for length in sorted(left):
-        k = -(-length // width)
-        if k <= bins:
-            pools[k].append(length)  # the longest is taken first
+        if (k := -(-length // width)) <= bins:
+            pools[k].append(length)
             want[k] += left[length]
-    typical = np.median(np.repeat(np.arange(bins + 1), np.ceil(want / max(1.0, want.sum()) * 1000).astype(int))) if want.any() else 0
-    room = int(gap * typical)  # bins left free in every pattern, for one more document that fits exactly
-    columns = patterns(np.array([k for k in np.flatnonzero(want) if k <= bins - room]), bins - room, bins + 1)
-    repeats = np.floor(share * nnls(columns / 1.0, want) + 1e-9).astype(np.int64) if columns.shape[1] else np.zeros(0, np.int64)
+            total[k] += length * left[length]
+    if not want.any():
+        return []
+    body, used = patterns(want, total / np.maximum(want, 1), width, capacity)
+    if not body.shape[1]:
+        return []
+    repeats = np.floor(nnls(used, want) + 1e-9).astype(np.int64)
+    out: list[Group] = []
     for c in np.argsort(-repeats, kind="stable"):
-        n = int(repeats[c])
-        counts = {int(i): int(columns[i, c]) for i in np.flatnonzero(columns[:, c])}
-        n = min([n, *(sum(left.get(x, 0) for x in pools[i]) // m for i, m in counts.items())])
-        if n <= 0:
+        slots = [int(k) for k in np.flatnonzero(body[:, c]) for _ in range(int(body[k, c]))]
+        short = [sum(left.get(x, 0) for x in pools[k]) // slots.count(k) for k in set(slots)]
+        n = min([int(repeats[c]), *short])
+        if n <= 0 or not slots:
             continue
-        drop: dict[int, int] = defaultdict(int)  # where the filled length changes along the n containers
-        for i, m in counts.items():
-            for _ in range(m):
-                at = 0
-                while at < n:
-                    while pools[i][-1] not in left:
-                        pools[i].pop()
-                    length = pools[i][-1]
-                    k = min(n - at, left[length])
-                    take(length, k, used + at, 1)
-                    drop[at] += length
-                    drop[at + k] -= length
-                    at += k
-        filled, edges = 0, sorted(drop)
-        for a, b in zip(edges, edges[1:], strict=False):
-            filled += drop[a]
-            if b > a and filled < capacity:
-                slacks[capacity - filled].append((used + a, b - a))
-        used += n
-    open_ = sorted(slacks)
-    rest = sorted(left)
+        groups: list[Group] = [(n, capacity, ())]
+        for number, k in enumerate(slots):
+            laid = []
+            for count, slack, contents in groups:
+                while count:  # longest and shortest first in turn, which keeps sums near the mean
+                    length = pools[k][-1 if number % 2 else 0]
+                    if length not in left:
+                        pools[k].pop() if number % 2 else pools[k].popleft()
+                        continue
+                    m = min(count, left[length])
+                    _take(left, length, m)
+                    laid.append((m, slack - length, (*contents, (length, 1))))
+                    count -= m
+            groups = laid
+        out += groups
+    return out
+
+
+def _take(left: dict[int, int], length: int, n: int) -> None:
+    left[length] -= n
+    if not left[length]:
+        del left[length]
+
+
+def _best_fit(left: dict[int, int], groups: list[Group], capacity: int, new: bool) -> list[Group]:
+    """Documents of ``left``, longest first, into the smallest gap that holds them; without one into new containers, if ``new``."""
+    done, gaps = [], defaultdict(list)  # gap -> (how many, contents)
+    for n, slack, contents in groups:
+        gaps[slack].append((n, contents)) if slack else done.append((n, slack, contents))
+    open_, rest = sorted(gaps), sorted(left)
     while rest:
         length = rest.pop()
         while length in left:
             k = bisect_left(open_, length)
-            if k == len(open_):  # no container has room: as many new ones as whole fillings of this length need
-                each = min(capacity // length, left[length])
-                n = max(1, left[length] // each)
-                slack, first = capacity - length * each, used
-                used += n
-                take(length, n * each, first, each)
-            else:
+            if k < len(open_):
                 slack = open_[k]
-                first, room = slacks[slack].pop()
-                each = min(slack // length, left[length])
-                n = min(room, left[length] // each)
-                if n < room:
-                    slacks[slack].append((first + n, room - n))
-                if not slacks[slack]:
-                    del slacks[slack]
-                    open_.pop(k)
-                take(length, n * each, first, each)
-                slack -= length * each
-            if slack > 0:
-                if slack not in slacks:
-                    insort(open_, slack)
-                slacks[slack].append((first, n))
+                room, contents = gaps[slack].pop()
+            elif new:
+                slack, room, contents = capacity, left[length], ()
+            else:
+                break
+            each = min(slack // length, left[length])
+            n = min(room, left[length] // each)
+            if n < room and k < len(open_):
+                gaps[slack].append((room - n, contents))
+            if k < len(open_) and not gaps[slack]:
+                del gaps[slack]
+                open_.pop(k)
+            _take(left, length, n * each)
+            slack, contents = slack - length * each, (*contents, (length, each))
+            if not slack:
+                done.append((n, 0, contents))
+                continue
+            if slack not in gaps:
+                insort(open_, slack)
+            gaps[slack].append((n, contents))
+    return done + [(n, slack, contents) for slack, some in gaps.items() for n, contents in some]
+
+
+def filled(histogram: dict[int, int], capacity: int = CAPACITY, bins: int = BINS, rounds: int = ROUNDS) -> tuple[list[Group], list[Group]]:
+    """Containers filled by patterns, and those of the residue."""
+    left = {int(k): int(v) for k, v in histogram.items() if v > 0}
+    if left and (min(left) < 1 or max(left) > capacity):
+        raise ValueError("lengths must be between 1 and the capacity")
+    full: list[Group] = []
+    for _ in range(rounds if left else 0):
+        before = sum(left.values())
+        for n, slack, contents in _best_fit(left, _bodies(left, capacity, bins), capacity, False):
+            if slack <= capacity * TOLERANCE:
+                full.append((n, slack, contents))
+                continue
+            for length, each in contents:
+                left[length] = left.get(length, 0) + n * each
+        if sum(left.values()) in (0, before):
+            break
+    return full, _best_fit(left, [], capacity, True)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, bins: int = BINS, rounds: int = ROUNDS) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Intervals ``(length, first, last (exclusive), container, each)`` for a histogram of lengths 1..capacity, and the number of containers.
+
+    ``rounds=0`` leaves the patterns out: best fit alone, for comparison.
+    """
+    out, done, used = [], defaultdict(int), 0
+    for n, _, contents in (group for part in filled(histogram, capacity, bins, rounds) for group in part):
+        for length, each in contents:
+            out.append((length, done[length], done[length] + n * each, used, each))
+            done[length] += n * each
+        used += n
     return out, used
 
 
@@ -237,6 +273,15 @@ def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
+def methods_report(counts: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY) -> DataFrame:
+    """One row: containers needed at least, used in all, of these filled by patterns, and used by best fit without patterns. Planned on the histogram; nothing is placed."""
+    histogram = {r[0]: r[1] for r in pieces(counts, key, size, capacity).groupBy("n_tokens").count().collect()}  # at most `capacity` rows
+    full, rest = filled(histogram, capacity)
+    number = lambda groups: sum(n for n, _, _ in groups)
+    row = (-(-sum(k * v for k, v in histogram.items()) // capacity), number(full) + number(rest), number(full), plan(histogram, capacity, rounds=0)[1])
+    return counts.sparkSession.createDataFrame([row], "containers_at_least bigint, containers bigint, by_patterns bigint, best_fit_alone bigint")
+
+
 def packed_documents(counts: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """Token counts written once to the shared folder, then packed."""
     return pack(materialise(counts), key, "n_tokens", capacity)

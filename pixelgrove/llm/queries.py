@@ -100,6 +100,20 @@ def p8_fill(s, d):
     return packing.fill_report(_packed(s, d))
 
 
+def p8_methods(s, d):
+    """Containers with and without the fitted patterns."""
+    return packing.methods_report(tokenise.token_counts(table(s, d, "documents")))
+
+
+def p8_characters(s, d):
+    """The packing of texts measured in characters, by what must hold of any: nothing lost, none over capacity, under a hundredth unused beyond the bound."""
+    capacity = 65_536
+    sizes = materialise(table(s, d, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_tokens")))
+    r = packing.fill_report(packing.pack(sizes, capacity=capacity), capacity)
+    tight = F.col("containers") <= F.ceil(F.col("containers_at_least") * 1.01) + 1
+    return r.select("items", "tokens", "containers_at_least", (F.col("fullest") <= capacity).alias("fits"), tight.alias("tight"))
+
+
 def p9_found(s, d):
     return reading.easy_throughout(_scored(s, d))
 
@@ -186,6 +200,8 @@ def oracle_sql():
         "p2_neighbours": f"with {_KNN} select id, neighbour, round(dist, 6) dist, cast(rank as integer) rank from n",
         "p2_found": f"with {_KNN} select distinct least(id, neighbour) mm_id_a, greatest(id, neighbour) mm_id_b from n",
         "p3_percentiles": _percentiles(),
+        "p8_characters": """select cast(coalesce(sum((n + 65535) // 65536), 0) as bigint) items, cast(coalesce(sum(n), 0) as bigint) tokens, cast(coalesce((sum(n) + 65535) // 65536, 0) as bigint) containers_at_least, true fits, true tight
+            from (select length(text) n from documents where text is not null)""",
         "p5_found": _SHORT,
         "p5_report": _REPORT,
         "p6_found": f"with {_OVERLAPS} select least(t, e) rec_id_a, greatest(t, e) rec_id_b from pairs",

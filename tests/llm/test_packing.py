@@ -31,8 +31,12 @@ def test_plan_places_every_item_within_capacity(histogram, capacity, bins):
 def test_little_space_is_left():
     rng = np.random.default_rng(3)
     sizes, counts = np.unique(np.clip(rng.lognormal(6.7, 0.7, 100_000).astype(int), 1, 8192), return_counts=True)
-    _, used = packing.plan(dict(zip(sizes.tolist(), counts.tolist(), strict=True)))
+    histogram = dict(zip(sizes.tolist(), counts.tolist(), strict=True))
+    _, used = packing.plan(histogram)
     assert used <= 1.01 * -(-int((sizes * counts).sum()) // 8192)
+    full, rest = packing.filled(histogram)
+    assert sum(g[0] for g in full) > sum(g[0] for g in rest)  # patterns do most of it
+    assert used <= 1.001 * packing.plan(histogram, rounds=0)[1]  # as good as best fit, which is near the bound here
 
 
 def test_nnls_solves_and_stays_non_negative():
