@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,11 @@ def p3_percentiles(s, d):
     return percentiles.record_percentiles(table(s, d, "records"))
 
 
+def p3_coarse(s, d):
+    """The same with a hundredth of relative error: a sketch of under a thousand buckets whatever the range of values."""
+    return percentiles.record_percentiles(table(s, d, "records"), accuracy=0.01).withColumn("value", F.round("value", 6))
+
+
 def p3_sketches(s, d):
     return percentiles.record_sketch(table(s, d, "records"))
 
@@ -65,6 +72,15 @@ def p5_report(s, d):
     return sampling.draw(table(s, d, "records"), table(s, d, "targets"))[1]
 
 
+def p5_provision(s, d):
+    """What the report says of the batches' records, without what is drawn by chance."""
+    return sampling.draw(table(s, d, "records"), table(s, d, "targets"))[1].select("batch_id", "outcome", "wanted", "available", "short")
+
+
+def p5_totals(s, d):
+    return sampling.totals(table(s, d, "records"), table(s, d, "targets"))
+
+
 def p5_balance(s, d):
     """Drawn shares against ``target_pct`` and drawn totals against ``n_wanted``, per batch and outcome."""
     targets = table(s, d, "targets")
@@ -162,22 +178,48 @@ _SHORT = f"""with t as (select batch_id, {_NAME} outcome, max(greatest(coalesce(
     select t.batch_id, t.outcome from t left join c on t.batch_id = c.batch_id and t.outcome = c.outcome where coalesce(n, 0) < wanted"""
 
 
-_REPORT = f"""with t as (select batch_id, {_NAME} outcome, max(greatest(coalesce(min_rows, 0), target_pct * n_wanted / 100.0)) wanted from targets where batch_id is not null and {_NAME} is not null group by 1, 2),
+_PROVISION = f"""with t as (select batch_id, {_NAME} outcome, max(greatest(coalesce(min_rows, 0), target_pct * n_wanted / 100.0)) wanted from targets where batch_id is not null and {_NAME} is not null group by 1, 2),
     r as (select distinct rec_id, batch_id, {_NAME} outcome from records), c as (select batch_id, outcome, count(*) n from r group by 1, 2)
-    select t.batch_id, t.outcome, cast(wanted as double) wanted, coalesce(n, 0) available, cast(least(wanted, coalesce(n, 0)) as bigint) drawn, cast(0.0 as double) residual, coalesce(n, 0) < wanted short
+    select t.batch_id, t.outcome, cast(wanted as double) wanted, coalesce(n, 0) available, coalesce(n, 0) < wanted short
     from t left join c on t.batch_id = c.batch_id and t.outcome = c.outcome"""
 
+# listed cells: minima, then shares as far as records go; other outcomes: the share left open
+_TOTALS = f"""with t as (select batch_id, {_NAME} outcome, max(coalesce(target_pct, 0)) pct, max(coalesce(min_rows, 0)) low, max(n_wanted) n from targets where batch_id is not null and {_NAME} is not null group by 1, 2),
+    b as (select batch_id, max(n) n from t group by 1),
+    r as (select distinct rec_id, batch_id, {_NAME} outcome from records), c as (select batch_id, outcome, count(*) has from r where outcome is not null group by 1, 2),
+    l as (select t.batch_id, t.outcome, pct, low, b.n, coalesce(has, 0) has from t join b using (batch_id) left join c on t.batch_id = c.batch_id and t.outcome = c.outcome),
+    s as (select batch_id, max(n) n, least(1, sum(pct) / 100.0) share, sum(least(low, has)) least_, sum(least(greatest(low, pct * n / 100.0), has)) own, sum(case when pct > 0 then has else least(low, has) end) most, max(pct) any_ from l group by 1),
+    g as (select *, case when any_ = 0 or least_ >= least(n, greatest(own, n * share)) then least_ else least(least(n, greatest(own, n * share)), most) end listed from s),
+    o as (select c.batch_id, sum(has) has from c where not exists (select 1 from t where t.batch_id = c.batch_id and t.outcome = c.outcome) group by 1)
+    select g.batch_id, cast(n as bigint) n_wanted, round(cast(listed + least(greatest(0, least(n - listed, n * (1 - share))), coalesce(has, 0)) as double), 4) expected, true met from g left join o on o.batch_id = g.batch_id"""
+
 
-def _percentiles() -> str:
-    """Nearest-rank percentiles from exact counts of every value."""
+def _day_cells() -> str:
+    """(outcome, d, feature, val) of distinct records."""
     cols = ", ".join(f"min({f}) {f}" for f in feature_names())
     cells = " union all ".join(f"select outcome, d, {i} feature, {f} val from r where {f} is not null and {f} <> -1" for i, f in enumerate(feature_names()))
+    return f"r as (select rec_id, coalesce(min({_NAME}), 'None') outcome, cast(min(captured_at) as date) d, {cols} from records where rec_id is not null group by rec_id), cells as ({cells})"
+
+
+def _bucket_sql(accuracy: float) -> tuple[str, str]:
+    """Bucket of ``val``, and the value that stands for bucket ``b``, held within ``low`` and ``high``."""
+    gamma = (1 + accuracy) / (1 - accuracy)
+    shift = math.ceil(math.log(1e-9) / math.log(gamma)) - 1
+    return (
+        f"cast(case when val = 0 then 0 else sign(val) * (ceil(ln(abs(val)) / {math.log(gamma)!r} - 1e-9) - ({shift})) end as integer)",
+        f"least(greatest(case when b = 0 then 0.0 else sign(b) * exp((abs(b) + ({shift})) * {math.log(gamma)!r}) * {2 / (1 + gamma)!r} end, low), high)",
+    )
+
+
+def _percentiles(accuracy: float | None = None) -> str:
+    """Nearest-rank percentiles from counts of every value, or of every bucket of the given accuracy."""
+    bucket, stand_in = ("val", "cast(b as double)") if accuracy is None else _bucket_sql(accuracy)
     ranks = ", ".join(f"({float(q)})" for q in percentiles.PERCENTILES)
-    return f"""with r as (select rec_id, coalesce(min({_NAME}), 'None') outcome, cast(min(captured_at) as date) d, {cols} from records where rec_id is not null group by rec_id), cells as ({cells}),
+    return f"""with {_day_cells()},
     both_levels as (select 'all' "level", outcome, cast(null as date) "day", feature, val from cells union all select 'day', outcome, d, feature, val from cells),
-    c as (select level, outcome, day, feature, val, count(*) n from both_levels group by 1, 2, 3, 4, 5),
-    w as (select *, sum(n) over (partition by level, outcome, day, feature order by val) hi, sum(n) over (partition by level, outcome, day, feature) total from c)
-    select level, outcome, day, feature, cast(pct as double) pct, cast(val as double) "value", cast(hi - n + 1 as bigint) rank_low, cast(hi as bigint) rank_high, cast(0 as bigint) rank_error, cast(total as bigint) n_values
+    c as (select level, outcome, day, feature, {bucket} b, count(*) n, min(val) low, max(val) high from both_levels group by 1, 2, 3, 4, 5),
+    w as (select *, sum(n) over (partition by level, outcome, day, feature order by b) hi, sum(n) over (partition by level, outcome, day, feature) total from c)
+    select level, outcome, day, feature, cast(pct as double) pct, round({stand_in}, 6) "value", cast(hi - n + 1 as bigint) rank_low, cast(hi as bigint) rank_high, cast(case when low = high then 0 else n - 1 end as bigint) rank_error, cast(total as bigint) n_values
     from w join (values {ranks}) as q(pct) on greatest(1, ceil(pct * total / 100.0)) <= hi and greatest(1, ceil(pct * total / 100.0)) > hi - n"""
 
 
@@ -200,10 +242,13 @@ def oracle_sql():
         "p2_neighbours": f"with {_KNN} select id, neighbour, round(dist, 6) dist, cast(rank as integer) rank from n",
         "p2_found": f"with {_KNN} select distinct least(id, neighbour) mm_id_a, greatest(id, neighbour) mm_id_b from n",
         "p3_percentiles": _percentiles(),
+        "p3_coarse": _percentiles(0.01),
+        "p3_sketches": f"with {_day_cells()} select outcome, d \"day\", feature, {_bucket_sql(percentiles.ACCURACY)[0]} bucket, count(*) n, min(val) low, max(val) high from cells group by 1, 2, 3, 4",
         "p8_characters": """select cast(coalesce(sum((n + 65535) // 65536), 0) as bigint) items, cast(coalesce(sum(n), 0) as bigint) tokens, cast(coalesce((sum(n) + 65535) // 65536, 0) as bigint) containers_at_least, true fits, true tight
             from (select length(text) n from documents where text is not null)""",
         "p5_found": _SHORT,
-        "p5_report": _REPORT,
+        "p5_provision": _PROVISION,
+        "p5_totals": _TOTALS,
         "p6_found": f"with {_OVERLAPS} select least(t, e) rec_id_a, greatest(t, e) rec_id_b from pairs",
         "p6_report": f"""with {_OVERLAPS}, m as (select e, max(case when same then 1 else 0 end) same from pairs group by e)
             select data_split, sensor_id, count(*) records, count(case when same = 1 then 1 end) same, count(case when same = 0 then 1 end) near

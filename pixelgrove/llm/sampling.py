@@ -1,20 +1,23 @@
 """A sample whose category shares follow given targets, drawn by the cube method.
 
-Every record has an inclusion probability: size of its (batch, category) cell in the sample over available number. The
+Every record has an inclusion probability: size of its (batch, outcome) cell over available number. The
 balancing equations are the indicators of the cells, so a flight step moves two undecided records of one cell along (1, -1) until
-one of them is decided; every equation stays satisfied. Flights run per task, each leaving at most one undecided record per cell;
-these merge upward into ever fewer tasks (a level is a shuffle of at most cells x tasks rows), until one is left per cell. Landing
-drops the cell equations and keeps the batch totals: undecided records of one batch are paired across cells, and a last one is
-drawn at its probability. The report states wanted, available and drawn numbers and the residual imbalance; ``balance`` sets drawn
-shares against ``target_pct`` and drawn totals against ``n_wanted``.
+one of them is decided; every equation stays satisfied. Records of a cell are divided by a hash of their id into blocks of about
+``BLOCK_ROWS``, whatever the partitioning of the input; flights run per block, in order of another hash, each leaving at most one undecided record;
+these merge upward into one flight per cell. Landing drops the cell equations and keeps the batch totals: undecided records of
+one batch are paired across cells, and a last one is drawn at its probability. The same records and seed give the same sample, however they are stored.
 
-A cell wants the larger of ``min_rows`` and ``target_pct * n_wanted / 100``; its size in the sample is set per batch (``cell_sizes``), so that
+*Two phases.* A cell wants the larger of ``min_rows`` and ``target_pct * n_wanted / 100``; its size in the sample is set per batch (``cell_sizes``), so that
 all cells together have ``n_wanted`` records: minima first, the rest by ``target_pct`` among cells with records left. The share that a batch's
 targets leave open (100 less their sum) is drawn from its outcomes without target. Only minima that exceed ``n_wanted`` by themselves make a
-sample larger, only a lack of records makes it smaller. Randomness is a hash of key and seed: the same sample
-at every run, whatever the partitioning of the input, is not promised, an exact balance is. Defined results: repeated target rows
+sample larger, only a lack of records makes it smaller. The first phase draws a reserve for every cell: as many records as it wants by itself or has in the
+sample, whichever is more, rounded up. A cell whose reserve stays below what it wants is short: the batch cannot provide it. The second
+phase draws the sample from the reserve. The report states wanted, available, reserved and drawn numbers and the residual
+imbalance; ``balance`` sets drawn shares against ``target_pct`` and drawn totals against ``n_wanted``.
+
+Defined results: repeated target rows
 count once (of unequal ones the largest wish); null batches, categories or numbers are no targets; records delivered twice count
-once; records without one of the six outcomes are never drawn; a cell without records is reported short with 0 available.
+once (of unequal deliveries the one of least batch and outcome); records without one of the six outcomes are never drawn; a cell without records is reported short with 0 available.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, one_per_key, outcome_name
+from .common import broadcast_if_small, materialise, one_per_key, outcome_name
 
-EPS = 1e-9
+EPS = 1e-7
+BLOCK_ROWS = 100_000
 SCHEMA = "batch_id int, outcome string, rec_id bigint, p double"
 
 
@@ -130,24 +134,26 @@ def _uniform(ids: np.ndarray, seed: int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
-def _fly(frames, seed: int, by: list[str]):
-    """Flights over one task's rows, batch after batch of rows; only undecided rows are carried along."""
-    left = None
+def _fly(frames, seed: int):
+    """Flights over rows sorted by (batch, outcome, block, hash); only undecided rows are carried along, at most one per block at its end."""
+    left, by = None, ["batch_id", "outcome", "block"]
     for pdf in frames:
         pdf = pdf if left is None else pd.concat([left, pdf], ignore_index=True)
         if pdf.empty:
             continue
         p = pdf["p"].to_numpy(float).copy()
         u = _uniform(pdf["rec_id"].to_numpy(), seed)
-        for at in pdf.groupby(by, sort=True).indices.values():
-            at = at[np.argsort(u[at], kind="stable")]
-            p[at] = flight(p[at], _uniform(pdf["rec_id"].to_numpy()[at], seed + 7919))
+        for at in pdf.groupby(by, sort=False).indices.values():
+            p[at] = flight(p[at], u[at])
         pdf["p"] = p
-        open_ = (p > 0) & (p < 1)
-        left = pdf[open_]
-        yield pdf[~open_ & (p > 0)]
+        yield pdf[p >= 1][["batch_id", "outcome", "rec_id", "p"]]
+        # blocks other than the last one read are finished
+        open_ = pdf[(p > 0) & (p < 1)]
+        last = (open_[by] == pdf[by].iloc[-1]).all(axis=1)
+        yield open_[~last][["batch_id", "outcome", "rec_id", "p"]]
+        left = open_[last]
     if left is not None:
-        yield left
+        yield left[["batch_id", "outcome", "rec_id", "p"]]
 
 
 def _land(frames, seed: int):
@@ -163,44 +169,72 @@ def _land(frames, seed: int):
     yield pdf[p > _uniform(ids, seed + 1)]
 
 
-def draw(records: DataFrame, targets: DataFrame, seed: int = 1, fan_in: int = 16) -> tuple[DataFrame, DataFrame]:
-    """``(sample, report)``: sample ``batch_id, outcome, rec_id``; report ``batch_id, outcome, wanted, available, drawn, residual, short``.
+def cube(rows: DataFrame, seed: int) -> DataFrame:
+    """``batch_id, outcome, rec_id`` of a balanced sample of ``rows (batch_id, outcome, rec_id, p, blocks)``; ``p`` and ``blocks`` are equal within a cell."""
+    sure = rows.where("p >= 1").select("batch_id", "outcome", "rec_id")
+    order = F.xxhash64("rec_id", F.lit(seed))
+
+    def flown(df: DataFrame, number: int) -> DataFrame:
+        spread = df.repartition("batch_id", "outcome", "block").sortWithinPartitions("batch_id", "outcome", "block", order, "rec_id")
+        return materialise(spread.select("batch_id", "outcome", "block", "rec_id", "p").mapInPandas(lambda it: _fly(it, seed + number), SCHEMA))
+
+    first = flown(rows.where("p < 1").withColumn("block", F.pmod(F.xxhash64("rec_id", F.lit(seed + 31)), F.col("blocks"))), 0)
+    second = flown(first.where("p < 1").withColumn("block", F.lit(0)), 1)
+    landed = second.where("p < 1").repartition("batch_id").sortWithinPartitions("batch_id", "outcome", "rec_id").mapInPandas(lambda it: _land(it, seed + 104729), SCHEMA)
+    out = sure
+    for df in (first.where("p >= 1"), second.where("p >= 1"), landed):
+        out = out.unionByName(df.select("batch_id", "outcome", "rec_id"))
+    return materialise(out)
+
 
-    ``residual`` is drawn less what could be drawn of what the cell wants by itself: below 0 where records went back to keep to the batch's
-    ``n_wanted``, above where the cell stands in for others. The report has listed cells only.
+def draw(records: DataFrame, targets: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """``(sample, report)``: sample ``batch_id, outcome, rec_id``; report ``batch_id, outcome, wanted, available, reserved, size, drawn, residual, short``.
+
+    ``size`` is the cell's part of the batch's sample before rounding. ``residual`` is drawn less what could be drawn of what the cell wants by itself: below 0
+    where records went back to keep to the batch's ``n_wanted``, above where the cell stands in for others. The report has listed cells only.
     """
     cells = materialise(distinct_labels(records))
-    available = cells.groupBy("batch_id", "outcome").agg(F.count("*").alias("available"))
-    wanted = materialise(wishes(targets).join(available, ["batch_id", "outcome"], "left").select("batch_id", "outcome", "wanted", F.coalesce("available", F.lit(0)).alias("available")))
+    available = materialise(cells.groupBy("batch_id", "outcome").agg(F.count("*").alias("available")))
+    wish = wishes(targets)
     goal = materialise(goals(targets))
     size = goal.groupBy("batch_id").agg(F.max("n").alias("n"))
     known = available.join(goal.drop("n").withColumn("listed", F.lit(True)), ["batch_id", "outcome"], "full").join(size, "batch_id")
     known = known.fillna(0, ["available", "pct", "low"]).fillna(False, ["listed"])
-    sized = materialise(known.repartition("batch_id").mapInPandas(_sized, "batch_id int, outcome string, available bigint, size double"))
-    rows = cells.join(sized.where("size > 0"), ["batch_id", "outcome"]).select("batch_id", "outcome", "rec_id", F.least(F.lit(1.0), F.col("size") / F.col("available")).alias("p"))
-    done = []
-    for level, spread in enumerate((None, fan_in, 1)):
-        if spread == 1:
-            rows = rows.repartition("batch_id")
-        elif spread:
-            rows = rows.repartition(F.col("batch_id"), F.pmod(F.xxhash64("rec_id"), F.lit(spread)))
-        flown = materialise(rows.mapInPandas(lambda it, s=seed + level: _fly(it, s, ["batch_id", "outcome"]), SCHEMA))
-        done.append(flown.where("p >= 1"))
-        rows = flown.where("p < 1")
-    sample = rows.repartition("batch_id").mapInPandas(lambda it: _land(it, seed + 104729), SCHEMA)
-    for d in done:
-        sample = sample.unionByName(d)
-    sample = materialise(sample.select("batch_id", "outcome", "rec_id"))
+    sized = known.repartition("batch_id").mapInPandas(_sized, "batch_id int, outcome string, available bigint, size double").join(wish, ["batch_id", "outcome"], "left")
+    most = F.ceil(F.greatest(F.col("size"), F.coalesce("wanted", F.lit(0.0))) - 1e-9)
+    sized = materialise(sized.withColumn("most", F.least(F.col("available"), most)))
+    blocks = F.ceil(F.col("available") / BLOCK_ROWS)
+    rows = cells.join(broadcast_if_small(sized.where("most > 0").select("batch_id", "outcome", (F.col("most") / F.col("available")).alias("p"), blocks.alias("blocks"))), ["batch_id", "outcome"])
+    reserve = cube(rows, seed)
+    reserved = reserve.groupBy("batch_id", "outcome").agg(F.count("*").alias("reserved"))
+    thinned = sized.where("size > 0").select("batch_id", "outcome", F.least(F.lit(1.0), F.col("size") / F.col("most")).alias("p"), blocks.alias("blocks"))
+    sample = cube(reserve.join(broadcast_if_small(thinned), ["batch_id", "outcome"]), seed + 977)
     drawn = sample.groupBy("batch_id", "outcome").agg(F.count("*").alias("drawn"))
-    got = F.coalesce("drawn", F.lit(0))
-    report = wanted.join(drawn, ["batch_id", "outcome"], "left").select(
-        "batch_id", "outcome", "wanted", "available", got.alias("drawn"),
+    got, kept = F.coalesce("drawn", F.lit(0)), F.coalesce("reserved", F.lit(0))
+    report = sized.where("wanted is not null").join(reserved, ["batch_id", "outcome"], "left").join(drawn, ["batch_id", "outcome"], "left").select(
+        "batch_id", "outcome", "wanted", "available", kept.alias("reserved"), F.round("size", 6).alias("size"), got.alias("drawn"),
         F.round(got - F.least("wanted", F.col("available").cast("double")), 9).alias("residual"),
-        (F.col("available") < F.col("wanted")).alias("short"),
+        (kept < F.col("wanted")).alias("short"),
     )
     return sample, report
 
 
+def totals(records: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
+    """``batch_id, n_wanted, expected, met``: size of each batch's sample before rounding, and whether the sample drawn, in every cell and in all, is less than one record off."""
+    sample, report = draw(records, targets, seed)
+    off = report.groupBy("batch_id").agg(F.max(F.abs(F.col("drawn") - F.col("size"))).alias("off"))
+    size = goals(targets).groupBy("batch_id").agg(F.max("n").cast("bigint").alias("n_wanted"))
+    cells = report.groupBy("batch_id").agg(F.sum("size").alias("listed"))
+    all_ = sample.groupBy("batch_id").agg(F.count("*").alias("drawn"))
+    listed = report.select("batch_id", "outcome")
+    others = distinct_labels(records).groupBy("batch_id", "outcome").agg(F.count("*").alias("n")).join(listed, ["batch_id", "outcome"], "left_anti").groupBy("batch_id").agg(F.sum("n").alias("n"))
+    share = goals(targets).groupBy("batch_id").agg(F.least(F.lit(1.0), F.sum("pct") / 100).alias("share"))
+    joined = size.join(cells, "batch_id").join(share, "batch_id").join(off, "batch_id").join(others, "batch_id", "left").join(all_, "batch_id", "left").fillna(0, ["n", "drawn"])
+    left = F.greatest(F.lit(0.0), F.least(F.col("n_wanted") - F.col("listed"), F.col("n_wanted") * (1 - F.col("share"))))
+    expected = F.col("listed") + F.least(left, F.col("n"))
+    return joined.select("batch_id", "n_wanted", F.round(expected, 4).alias("expected"), ((F.col("off") < 1) & (F.abs(F.col("drawn") - expected) < 1)).alias("met"))
+
+
 def balance(sample: DataFrame, targets: DataFrame) -> DataFrame:
     """``batch_id, outcome, target_pct, drawn, drawn_pct, n_wanted, batch_drawn``: shares and totals of a sample against its targets.
 

@@ -76,6 +76,15 @@ def test_a_batch_draws_what_it_wants_in_all(spark):
     assert {r.residual for r in report.collect() if r.batch_id == 1} == {-60.0, 0.0}
 
 
+def test_the_sample_is_the_same_however_records_are_stored(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "BLOCK_ROWS", 60)  # several blocks per cell
+    records = spark.createDataFrame([(i * 7, i % 2, ("Head", "Neck", "Other")[i % 3], 0) for i in range(1500)], RECORDS)
+    targets = spark.createDataFrame([(b, o, p, 77, 0) for b in (0, 1) for o, p in (("Head", 31), ("Neck", 42), ("Other", 27))], TARGETS)
+    drawn = [sorted(map(tuple, sampling.draw(df, targets)[0].collect())) for df in (records.coalesce(1), records.repartition(7), records.orderBy("outcome", "rec_id").union(records))]
+    assert drawn[0] == drawn[1] == drawn[2] and Counter(r[0] for r in drawn[0]) == {0: 77, 1: 77}
+    assert [r.met for r in sampling.totals(records, targets).collect()] == [True, True]
+
+
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 60), st.integers(0, 200)), min_size=1, max_size=6), st.integers(0, 400))
 @settings(max_examples=200, deadline=None)
 def test_cells_fill_up_to_the_goal(cells, goal):
