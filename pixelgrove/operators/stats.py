@@ -54,8 +54,8 @@ def candidate_counts(records: DataFrame, features: Sequence[str], labels: Sequen
     return long_cells(records, features, (*by, label)).groupBy(*by, "feature", "value").agg(*counts)
 
 
-def candidate_gains(counts: DataFrame, classes: int, by: Sequence[str] = (), op: str = "le") -> DataFrame:
-    """``by, feature, value, n_true, n_false, gain`` of every split that leaves no side empty.
+def candidate_gains(counts: DataFrame, classes: int, by: Sequence[str] = (), op: str = "le", with_counts: bool = False) -> DataFrame:
+    """``by, feature, value, n_true, n_false, gain`` of every split that leaves no side empty; with ``true_counts``, those of the classes on the true branch, on demand.
 
     gain = (sum l^2 / nl + sum r^2 / nr - sum t^2 / n) / n, which equals the decrease of the Gini impurity.
     """
@@ -72,7 +72,8 @@ def candidate_gains(counts: DataFrame, classes: int, by: Sequence[str] = (), op:
     summed = summed.withColumns({"n_true": nl, "n_all": n}).where("n_true > 0 and n_true < n_all")
     nr = F.col("n_all") - F.col("n_true")
     gain = (squares(lambda i: F.col(f"l{i}")) / F.col("n_true") + squares(lambda i: F.col(f"t{i}") - F.col(f"l{i}")) / nr - squares(lambda i: F.col(f"t{i}")) / F.col("n_all")) / F.col("n_all")
-    return summed.select(*by, "feature", "value", "n_true", nr.alias("n_false"), gain.alias("gain"))
+    kept = [F.array(*[F.col(f"l{i}") for i in range(classes)]).alias("true_counts")] if with_counts else []
+    return summed.select(*by, "feature", "value", "n_true", nr.alias("n_false"), gain.alias("gain"), *kept)
 
 
 def _rank(settings: Settings) -> Column:
@@ -82,7 +83,8 @@ def _rank(settings: Settings) -> Column:
 
 def best_split(gains: DataFrame, by: Sequence[str] = (), settings: Settings = Settings()) -> DataFrame:
     """The split of greatest quantised gain per ``by``; among equals the last (or first) by (feature, value)."""
-    picked = gains.groupBy(*by).agg(F.max_by(F.struct("feature", "value", "n_true", "n_false", "gain"), _rank(settings)).alias("s"))
+    rest = [c for c in gains.columns if c not in by]
+    picked = gains.groupBy(*by).agg(F.max_by(F.struct(*rest), _rank(settings)).alias("s"))
     return picked.where("s is not null").select(*by, "s.*")
 
 

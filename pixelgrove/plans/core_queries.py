@@ -193,7 +193,10 @@ def value_range(s, d):
 
 # --- trees --------------------------------------------------------------------------------------------------------------------------
 
-_TWO = f"""with {_R}, {_LONG}, {_ROOT}, {_gains_sql('src', 'le')}, b0 as (select feature, val from q0 where gain > 0 {_BEST} limit 1),
+
+def _two_levels_sql(r: str) -> str:
+    """The nodes of a tree of two levels over the common table expression ``r``."""
+    return f"""with {r}, {_LONG}, {_ROOT}, {_gains_sql('src', 'le')}, b0 as (select feature, val from q0 where gain > 0 {_BEST} limit 1),
     side as (select rec_id, case when coalesce((list_value({', '.join(FEATURES)}))[b0.feature + 1] <= b0.val, false) then 2 else 3 end node, label, {', '.join(FEATURES)} from r, b0),
     lower as ({' union all '.join(f'select node, {i} feature, {f} val, label from side where {f} is not null' for i, f in enumerate(FEATURES))}), {_gains_sql('lower', 'le', '1')},
     b1 as (select node, feature, val from (select *, row_number() over (partition by node {_BEST}) k from q1 where gain > 0) where k = 1)
@@ -201,9 +204,38 @@ _TWO = f"""with {_R}, {_LONG}, {_ROOT}, {_gains_sql('src', 'le')}, b0 as (select
     union all select unnest([3, 4, 6, 7]), 'R', null, null, null, null"""
 
 
+_TWO, _TWO_ONCE = _two_levels_sql(_R), _two_levels_sql(f"{_R.replace('r as (', 'every_ as (', 1)}, r as (select distinct on (rec_id) * from every_)")
+
+
 @query(_TWO)
 def train_two_levels(s, d):
-    return train.train(records(s, d), FEATURES, settings=Settings(max_depth=2)).drop("tree_id", "results")
+    """Level by level, whatever the size."""
+    return train.train(records(s, d), FEATURES, settings=Settings(max_depth=2), local_rows=0).drop("tree_id", "results")
+
+
+@query(_TWO)
+def train_two_levels_local(s, d):
+    """The same tree from one task."""
+    return train.train(records(s, d), FEATURES, settings=Settings(max_depth=2), local_rows=sys.maxsize).drop("tree_id", "results")
+
+
+@query(_TWO_ONCE)
+def train_ordered(s, d):
+    """The same from columns of (feature, record, value) and a label map; records delivered twice are one record there."""
+    once = records(s, d).dropDuplicates(["rec_id"])
+    ordered, labels = stats.long_cells(once, FEATURES, ("rec_id",)), once.select("rec_id", "label")
+    return train.train(train.from_ordered(ordered, labels, len(FEATURES)), FEATURES, settings=Settings(max_depth=2), local_rows=0).drop("tree_id", "results")
+
+
+@query("select true same_nodes, true deep_enough")
+def train_paths(s, d):
+    """Six levels grown level by level, and by tasks of at most a twentieth of the records: both trees must have the same nodes."""
+    rows = materialise(named(s, d))
+    settings = Settings(max_depth=6)
+    by_level = materialise(train.train(rows, FEATURES, settings=settings, local_rows=0))
+    by_task = materialise(train.train(rows, FEATURES, settings=settings, local_rows=max(1, rows.count() // 20)))
+    differing = by_level.exceptAll(by_task).unionByName(by_task.exceptAll(by_level)).agg(F.count("*").alias("n"))
+    return differing.select((F.col("n") == 0).alias("same_nodes"), F.lit(by_level.count() > 31).alias("deep_enough"))
 
 
 @query()

@@ -34,7 +34,9 @@ ROWS, COLS, ONE_METER, NORM, BACKGROUND = 240, 320, 10_000, 1000, 65_535
 @dataclass(frozen=True)
 class Settings:
     """How trees are grown. ``op``: ``le`` or ``lt`` (true branch: feature <= or < value); ``tie``: which of equally good splits wins, the
-    ``last`` or ``first`` in order of (feature, value); a node of at most ``min_node`` records or of impurity at most ``min_impurity`` is a leaf."""
+    ``last`` or ``first`` in order of (feature, value); a node of at most ``min_node`` records or of impurity at most ``min_impurity`` is a leaf, so
+    that ``min_impurity=0`` stops at pure nodes only. ``least_gain``: a split must have a ``positive`` gain, or one that is positive when ``quantised``.
+    ``leaf_order``: a leaf's outcomes by ``name``, or by ``code`` (position among the six categories, unknown names last)."""
 
     op: str = "le"
     min_node: int = 1
@@ -42,10 +44,14 @@ class Settings:
     tie: str = "last"
     max_depth: int = 64
     quantum: float = 1e6
+    least_gain: str = "positive"
+    leaf_order: str = "name"
 
     def __post_init__(self):
         if self.op not in ("le", "lt") or self.tie not in ("last", "first"):
             raise ValueError("op is 'le' or 'lt', tie is 'last' or 'first'")
+        if self.least_gain not in ("positive", "quantised") or self.leaf_order not in ("name", "code"):
+            raise ValueError("least_gain is 'positive' or 'quantised', leaf_order is 'name' or 'code'")
 
 
 RESULT = T.ArrayType(T.StructType([T.StructField("outcome", T.StringType()), T.StructField("probability", T.DoubleType())]))

@@ -153,6 +153,29 @@ def test_both_searches_of_a_node_agree(op, tie, monkeypatch):
     x, y = rng.integers(-5, 12, (300, 4)).astype(float), rng.integers(0, 3, 300)
     x[rng.random(x.shape) < 0.15] = np.nan
     s = Settings(op=op, tie=tie)
-    at_once = train.subtree(x, y, 3, 1, s)
+    at_once = train.subtree(x, y, 3, 0, s)
     monkeypatch.setattr(train, "AT_ONCE", 0)
-    assert len(at_once) > 100 and train.subtree(x, y, 3, 1, s) == at_once
+    again = train.subtree(x, y, 3, 0, s)
+    assert len(at_once[0]) > 100 and all(np.array_equal(a, b) for a, b in zip(at_once, again, strict=True))
+
+
+@pytest.mark.parametrize("local", [0, 25, 10**6])
+def test_options_of_the_trainer(spark, local):
+    data = rows(120, 7)
+    nodes = train.grow(frame(spark, data), FEATURES, settings=Settings(min_impurity=0.0, min_node=1, least_gain="quantised"), local_rows=local)
+    assert shaped(nodes) == slow_tree(data, Settings(min_impurity=0.0))  # gains under a millionth don't occur here
+    few = train.grow(frame(spark, data), FEATURES, settings=Settings(least_gain="quantised", quantum=1.0), local_rows=local)
+    assert len(few) == 1  # no gain reaches 1
+    named = frame(spark, [(x, 0, 0, "Head" if i % 2 else "LeftShoulder" if i % 3 else "Neck") for i, x in enumerate([1] * 12)])
+    results = lambda s: [r["outcome"] for r in train.grow(named, FEATURES, settings=s, local_rows=local)[0]["results"]]
+    assert results(Settings()) == ["Head", "LeftShoulder", "Neck"] and results(Settings(leaf_order="code")) == ["LeftShoulder", "Head", "Neck"]
+    with pytest.raises(ValueError):
+        Settings(leaf_order="size")
+
+
+def test_training_from_ordered_columns(spark):
+    data = rows(90, 9)
+    wide = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "rec_id bigint, f0 int, f1 int, f2 int, label string")
+    again = train.from_ordered(stats.long_cells(wide, FEATURES, ("rec_id",)), wide.select("rec_id", "label"), 3)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, wide.collect()))
+    assert train.grow(again, FEATURES, settings=Settings(min_node=9)) == train.grow(wide, FEATURES, settings=Settings(min_node=9), local_rows=10)
