@@ -92,6 +92,11 @@ def hash_share(key: Column | str, buckets: int = 10_000, seed: int = 0) -> Colum
     return F.pmod(F.xxhash64(_c(key), F.lit(seed)), F.lit(buckets)) / F.lit(float(buckets))
 
 
+def key_share(key: Column | str, buckets: int = 10_000, seed: int = 0) -> Column:
+    """As ``hash_share``, by plain arithmetic on integer keys: the same in every engine."""
+    return F.pmod(_c(key).cast("bigint") * 7919 + 104729 + seed * 31, F.lit(buckets)) / F.lit(float(buckets))
+
+
 def in_training(key: Column | str, proportion: float, buckets: int = 10_000) -> Column:
     """Arithmetic split of integer keys: the same in every engine."""
     return F.pmod(_c(key).cast("bigint") * 7919 + 104729, F.lit(buckets)) < F.lit(int(round(proportion * buckets)))

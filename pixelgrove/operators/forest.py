@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.scalar import split_predicate
+from ..plans.tables import materialise
 
 CASE_NODES = 1500
 
@@ -31,10 +32,12 @@ def node_depths(nodes: DataFrame, max_depth: int = 200) -> DataFrame:
     One join per level over the node table, which is small (one row per node).
     """
     kids = nodes.where("kind = 'D'").select("tree_id", F.posexplode(F.array("true_id", "false_id")).alias("branch", "node_id"), F.col("node_id").alias("parent_id"))
-    level = nodes.join(kids, ["tree_id", "node_id"], "left_anti").select("tree_id", "node_id", F.lit(1).alias("depth"), F.lit("").alias("path")).cache()
+    level = nodes.join(kids, ["tree_id", "node_id"], "left_anti").select("tree_id", "node_id", F.lit(1).alias("depth"), F.lit("").alias("path"))
+    level = materialise(level)
     out = level
     for _ in range(max_depth):
-        level = kids.join(level.withColumnRenamed("node_id", "parent_id"), ["tree_id", "parent_id"]).select("tree_id", "node_id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.col("branch").cast("string")).alias("path")).cache()
+        level = kids.join(level.withColumnRenamed("node_id", "parent_id"), ["tree_id", "parent_id"]).select("tree_id", "node_id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.col("branch").cast("string")).alias("path"))
+        level = materialise(level)
         if level.limit(1).count() == 0:
             return out
         out = out.unionByName(level)

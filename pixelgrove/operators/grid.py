@@ -41,12 +41,35 @@ def vertical_counts(grid: DataFrame, out: str = "v") -> DataFrame:
 
 
 def integral(grid: DataFrame, out: str = "integral", saturated: bool = False) -> DataFrame:
-    """Foreground pixels above and left of each pixel, inclusive; ``saturated`` caps at 65535."""
+    """Foreground pixels above and left of each pixel, inclusive; ``saturated`` caps every sum at 65535 (see ``integral_image``)."""
     h = horizontal_counts(grid, "_h")
     total = F.sum("_h").over(_along("v").rowsBetween(Window.unboundedPreceding, 0))
     return h.withColumn(out, F.least(total, F.lit(65_535)) if saturated else total).drop("_h")
 
 
+def integral_image(mask: np.ndarray, top: int = 65_535) -> np.ndarray:
+    """2-D integral of a mask in unsigned numbers up to ``top`` that saturate inside the recurrence own + above + left - diagonal, as 16-bit images do: past
+    the first cell that is capped, sums fall behind the true ones."""
+    on = (mask != 0).astype(np.int64)
+    rows, cols = on.shape
+    out = np.zeros((rows + 1, cols + 1), np.int64)
+    for d in range(rows + cols - 1):  # one diagonal at a time: its cells don't depend on each other
+        r = np.arange(max(0, d - cols + 1), min(rows, d + 1))
+        c = d - r
+        out[r + 1, c + 1] = np.clip(np.minimum(np.minimum(on[r, c] + out[r, c + 1], top) + out[r + 1, c], top) - out[r, c], 0, top)
+    return out[1:, 1:]
+
+
+def saturated_integral(grid: DataFrame, rows: int = ROWS, cols: int = COLS, top: int = 65_535) -> DataFrame:
+    """``image, row, col, integral`` of every pixel, saturating inside the recurrence."""
+
+    def kernel(subj):
+        r, c = np.indices(subj.shape)
+        return {"row": r.ravel(), "col": c.ravel(), "integral": integral_image(subj, top).ravel()}
+
+    return per_image(grid, kernel, "row int, col int, integral bigint", rows, cols, ["subj"])
+
+
 def box_counts(grid: DataFrame, offset: int, out: str = "box") -> DataFrame:
     """Foreground pixels in the square around each pixel that reaches half of ``offset`` (at most 42) to every side, clipped at the border."""
     half = min(offset, 42) // 2
@@ -97,10 +120,29 @@ def profile_peak(profile: DataFrame, value: str = "smooth") -> DataFrame:
     return profile.groupBy("image").agg(F.max_by("row", F.struct(F.col(value), -F.col("row"))).alias("peak_row"))
 
 
-def profile_gradient(profile: DataFrame, value: str = "total") -> DataFrame:
-    """Difference to the row before; 0 in the first row."""
+def profile_gradient(profile: DataFrame, value: str = "total", clear_first: bool = False, taps: int = 1) -> DataFrame:
+    """Difference to the row before; 0 in the first row. ``clear_first`` sets the first positive difference (the subject's upper edge) to 0;
+    ``taps`` over 1 replaces differences by their mean over that many neighbouring rows."""
     w = Window.partitionBy("image").orderBy("row")
-    return profile.withColumn("gradient", F.coalesce(F.col(value) - F.lag(value).over(w), F.lit(0)))
+    out = profile.withColumn("gradient", F.coalesce(F.col(value) - F.lag(value).over(w), F.lit(0)))
+    if clear_first:
+        first = F.min(F.when(F.col("gradient") > 0, F.col("row"))).over(Window.partitionBy("image"))
+        out = out.withColumn("gradient", F.when(F.col("row") == first, F.lit(0)).otherwise(F.col("gradient")))
+    return out.withColumn("gradient", F.avg("gradient").over(w.rangeBetween(-(taps // 2), taps // 2))) if taps > 1 else out
+
+
+def mask_both(a: Column, b: Column) -> Column:
+    """Pixels of both masks."""
+    return a & b
+
+
+def mask_either(a: Column, b: Column) -> Column:
+    return a | b
+
+
+def mask_minus(a: Column, b: Column) -> Column:
+    """Pixels of the first mask that the second lacks."""
+    return a & ~b
 
 
 def extent(grid: DataFrame, by: Sequence[str], position: str, condition: Column) -> DataFrame:
@@ -339,6 +381,8 @@ def skeleton_mask(mask: np.ndarray) -> np.ndarray:
     while m.any():
         eroded = _cross(m, np.minimum)
         out |= m & ~_cross(eroded, np.maximum)
+        if (eroded == m).all():  # all foreground: outside the image is foreground too
+            break
         m = eroded
     return out
 

@@ -176,11 +176,17 @@ def nearest(queries: DataFrame, knowledge: DataFrame, k: int = 5, key: str = "qu
             for s in range(0, len(pdf), 512):
                 part = pdf.iloc[s : s + 512]
                 x = np.stack(part[vec].to_numpy()).astype(float)
-                d = np.zeros((len(x), len(ids)))
-                for j in range(table.shape[1]):  # one addend at a time, in order: sums as any engine makes them
-                    d += (x[:, j : j + 1] - table[None, :, j]) ** 2
-                best = np.argsort(d, 1, kind="stable")[:, :take]
-                yield pd.DataFrame({key: np.repeat(part[key].to_numpy(), take), entry: ids[best].ravel(), "dist": np.sqrt(np.take_along_axis(d, best, 1)).ravel(), "rank": np.tile(np.arange(1, take + 1, dtype=np.int32), len(part))})
+                best_d, best = np.full((len(x), 0), 0.0), np.zeros((len(x), 0), np.int64)
+                for f in range(0, len(ids), 4096):  # entries come in order of their number, so that a stable sort keeps ties to the smaller
+                    entries = table[f : f + 4096]
+                    d = np.zeros((len(x), len(entries)))
+                    for j in range(table.shape[1]):  # one addend at a time, in order: sums as any engine makes them
+                        d += (x[:, j : j + 1] - entries[None, :, j]) ** 2
+                    own = np.argsort(d, 1, kind="stable")[:, :take]
+                    d, at = np.concatenate([best_d, np.take_along_axis(d, own, 1)], 1), np.concatenate([best, own + f], 1)
+                    pick = np.argsort(d, 1, kind="stable")[:, :take]
+                    best_d, best = np.take_along_axis(d, pick, 1), np.take_along_axis(at, pick, 1)
+                yield pd.DataFrame({key: np.repeat(part[key].to_numpy(), take), entry: ids[best].ravel(), "dist": np.sqrt(best_d).ravel(), "rank": np.tile(np.arange(1, take + 1, dtype=np.int32), len(part))})
 
     return queries.select(key, vec).mapInPandas(run, kinds)
 

@@ -16,7 +16,7 @@ from ..operators import forest, grid, joins, posture, stats
 from ..schema import CATEGORIES, MEASUREMENTS, PARTS, STRAINS, Settings, features
 from ..sources import frames
 from ..streaming import background
-from . import train
+from . import pipeline, train
 from .tables import materialise, table
 
 FEATURES = features()
@@ -347,11 +347,11 @@ def train_test_split(s, d):
     return table(s, d, "records").select("rec_id", scalar.in_training("rec_id", 0.8).alias("in_training"))
 
 
-@query()
+@query(f"with {_R} select rec_id, cast(label as integer) \"label\" from r where ((rec_id * 7919 + 104729 + 155) % 10000 + 10000) % 10000 / 10000.0 < case when label = 5 then 0.4 else 0.5 end")
 def down_sampled(s, d):
     """Half of all records by a hash of the id, and of those of Other four fifths."""
     keep = F.when(F.col("label") == 5, 0.4).otherwise(0.5)
-    return records(s, d).where(scalar.hash_share("rec_id", seed=5) < keep).select("rec_id", "label")
+    return records(s, d).where(scalar.key_share("rec_id", seed=5) < keep).select("rec_id", "label")
 
 
 # --- grids ------------------------------------------------------------------------------------------------------------------------------
@@ -458,17 +458,70 @@ def feature_diagonal_up(s, d):
     return grid.two_sided_feature(pixels(s, d), grid.diagonal_offset(50), (1, -1), (-1, 1)).select("image", "row", "col", "f")
 
 
-@query()
+def _features_sql() -> str:
+    """Common table expressions up to ``feat (image, row, col, value, f0..f25)``."""
+    refs: dict[tuple, str] = {}
+    out = []
+
+    def ref(step, offset):
+        return refs.setdefault((step, offset), f"k{len(refs)}")
+
+    for half in (1, 2):
+        for kind, offset, *steps in grid.PLAN:
+            o = offset // half
+            if kind == "corner":
+                lu, ld, ru, rd = (ref(x, o // 2) for x in ((-1, -1), (1, -1), (-1, 1), (1, 1)))
+                out.append(f"case when {lu} = 0 or {ld} = 0 or {ru} = 0 or {rd} = 0 then 1000 else abs({lu} + {rd} - {ld} - {ru}) // 2 end")
+            elif kind == "side":
+                v = f"greatest(abs(p - {ref(steps[0], o)}), 1)"
+                out.append(f"round_even(cast(max({v}) over (partition by image) as double) / {v}, 0)")
+            else:
+                t = o // 2 if kind == "pair" else o if kind == "full" else grid.diagonal_offset(o)
+                out.append(f"greatest(abs({ref(steps[1], t)} - {ref(steps[0], t)}), {steps[2]})")
+    joined = " ".join(f'left join g {n} on {n}.image = p.image and {n}."row" = p."row" + ({a}) * p.t{o} and {n}.col = p.col + ({b}) * p.t{o}' for ((a, b), o), n in refs.items())
+    ts = ", ".join(f"cast(round({o} / (depth / 10000.0)) as integer) t{o}" for o in sorted({o for _, o in refs}))
+    on = "case when subj <> 0 then 1 else 0 end"
+
+    def line(by, at, o):
+        w = f"partition by image, {by} order by {at}"
+        return f"{SIDE} + coalesce(sum({on}) over ({w} rows between 1 following and {o} following), 0) - sum({on}) over ({w} rows between {o} preceding and current row) + case when {at} <= {o} then first_value({on}) over ({w}) else 0 end"
+
+    fixed = [line('"row"', "col", SIDE), line('"row"', "col", 20), line("col", '"row"', SIDE), line("col", '"row"', 20)]
+    boxes = [f"sum(s{h}) over (partition by image, col order by \"row\" rows between {h} preceding and {h} following)" for h in (10, 21)]
+    sums = ", ".join(f"sum({on}) over (partition by image, \"row\" order by col rows between {h} preceding and {h} following) s{h}" for h in (10, 21))
+    return f"""{_G}, o as (select *, {ts} from g where subj <> 0),
+        x as (select p.image, p."row", p.col, p.value, p.subj p, {", ".join(f"coalesce({n}.subj, 0) {n}" for n in refs.values())} from o p {joined}),
+        near as (select image, "row", col, value, {", ".join(f"cast({e} as integer) f{i}" for i, e in enumerate(out))} from x),
+        sq as (select *, {sums} from g), flat as (select image, "row", col, subj, {", ".join(f"cast({e} as integer) f{20 + i}" for i, e in enumerate(fixed + boxes))} from sq),
+        feat as (select near.*, f20, f21, f22, f23, f24, f25 from near join flat using (image, "row", col))"""
+
+
+def _label_colours(s, d) -> DataFrame:
+    """A label image over the grid: colours of the categories by the value modulo 7."""
+    colour = scalar.category_colour(scalar.category_name(F.pmod("value", F.lit(7)).cast("int")))
+    return pixels(s, d).withColumn("_c", colour).select("image", "row", "col", "subj", "depth", "_c.r", "_c.g", "_c.b")
+
+
+_FEATURES = _features_sql()
+_LABELLED = f"select image, \"row\", col, {', '.join(FEATURES)}, case value % 7 {' '.join(f'when {i} then {chr(39)}{n}{chr(39)}' for i, n in enumerate(CATEGORIES))} end \"label\" from feat where value % 7 < 6"
+
+
+@query(f'with {_FEATURES} select image, "row", col, {", ".join(FEATURES)} from feat')
 def features26(s, d):
     return grid.features26(pixels(s, d), SIDE, SIDE)
 
 
-@query()
+@query(f"with {_FEATURES} {_LABELLED}")
 def labelled_features(s, d):
     """Features joined with label colours by position; unlabelled pixels dropped."""
-    colours = pixels(s, d).select("image", "row", "col", scalar.category_colour(scalar.category_name(F.pmod("value", F.lit(7)).cast("int"))).alias("c"))
-    label = scalar.colour_category("c.r", "c.g", "c.b").alias("label")
-    return joins.positional(grid.features26(pixels(s, d), SIDE, SIDE), colours.select("image", "row", "col", label)).where(scalar.is_labelled("label"))
+    label = scalar.colour_category("r", "g", "b").alias("label")
+    return joins.positional(grid.features26(pixels(s, d), SIDE, SIDE), _label_colours(s, d).select("image", "row", "col", label)).where(scalar.is_labelled("label"))
+
+
+@query(f"with {_FEATURES} {_LABELLED} and not image between 49 and 146")
+def frames_to_records(s, d):
+    """From frames with label colours to training records, by the pipeline."""
+    return pipeline.records_from_frames(_label_colours(s, d), SIDE, SIDE, segmented=True)
 
 
 def _around(cells: str, take: str, out: str) -> str:
@@ -507,9 +560,9 @@ def row_profile(s, d):
     return grid.row_profile(pixels(s, d)).withColumn("smooth", F.round("smooth", 6))
 
 
-@query(f'with {_PROFILE}, k as (select *, row_number() over (partition by image order by total desc, "row") k from f) select image, "row" peak_row from k where k = 1')
+@query(f'with {_PROFILE}, k as (select *, row_number() over (partition by image order by round(smooth, 6) desc, "row") k from f) select image, "row" peak_row from k where k = 1')
 def profile_peak(s, d):
-    return grid.profile_peak(grid.row_profile(pixels(s, d)), "total")
+    return grid.profile_peak(grid.row_profile(pixels(s, d)).withColumn("smooth", F.round("smooth", 6)))
 
 
 @query(f'with {_PROFILE} select image, "row", cast(coalesce(total - lag(total) over (partition by image order by "row"), 0) as bigint) gradient from f')
@@ -517,6 +570,13 @@ def profile_gradient(s, d):
     return grid.profile_gradient(grid.row_profile(pixels(s, d))).select("image", "row", "gradient")
 
 
+@query(f'''with {_PROFILE}, d as (select image, "row", coalesce(total - lag(total) over (partition by image order by "row"), 0) v from f), e as (select *, min(case when v > 0 then "row" end) over (partition by image) first_up from d)
+    select image, "row", round(avg(case when "row" = first_up then 0 else v end) over (partition by image order by "row" rows between 2 preceding and 2 following), 6) gradient from e''')
+def profile_gradient_smooth(s, d):
+    """The gradient without its first rise, averaged over five rows."""
+    return grid.profile_gradient(grid.row_profile(pixels(s, d)), clear_first=True, taps=5).select("image", "row", F.round("gradient", 6).alias("gradient"))
+
+
 @query(f'with {_G} select image, "row", min(case when subj > 600 then col end) first_pos, max(case when subj > 600 then col end) last_pos from g group by 1, 2')
 def extent(s, d):
     return grid.extent(pixels(s, d), ["image", "row"], "col", F.col("subj") > 600)
@@ -541,25 +601,46 @@ def view8(s, d):
 @query(f'with {_G} select image, "row", col, subj > 520 and value % 2 = 0 both_masks, subj > 520 or value % 2 = 0 either_mask, subj > 520 and not value % 2 = 0 only_first from g')
 def mask_operations(s, d):
     a, b = F.col("subj") > 520, F.col("value") % 2 == 0
-    return pixels(s, d).select("image", "row", "col", (a & b).alias("both_masks"), (a | b).alias("either_mask"), (a & ~b).alias("only_first"))
+    return pixels(s, d).select("image", "row", "col", grid.mask_both(a, b).alias("both_masks"), grid.mask_either(a, b).alias("either_mask"), grid.mask_minus(a, b).alias("only_first"))
 
 
-@query()
+def _components_sql(source: str, name: str = "cc") -> str:
+    """``name (image, row, col, lab)``: every pixel of ``source`` with the raster position of its component's first pixel."""
+    around = ", ".join(f"({a}, {b})" for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b)
+    return f"""{name}(image, "row", col, lab) using key (image, "row", col) as (select image, "row", col, "row" * {SIDE} + col from {source} union
+        select n.image, n."row", n.col, min(w.lab) from {name} w join (values {around}) as a(dr, dc) on true join recurring.{name} n on n.image = w.image and n."row" = w."row" + dr and n.col = w.col + dc where w.lab < n.lab group by 1, 2, 3)"""
+
+
+@query(f'with recursive {_G}, fg as (select image, "row", col from g where subj <> 0), {_components_sql("fg")} select image, "row", col, cast(dense_rank() over (partition by image order by lab) as integer) component from cc')
 def connected_components(s, d):
     return grid.connected_components(pixels(s, d), "subj", SIDE, SIDE)
 
 
-@query()
+@query(f"""with recursive {_G}, mean as (select image, sum(depth) / {SIDE * SIDE}.0 mean from g group by image), m as (select g.image, "row", col, case when depth < 5000 or depth > mean then 0 else depth end d from g join mean using (image)),
+    fg as (select image, "row", col from m where d <> 0), {_components_sql("fg")}, size as (select image, lab, count(*) n from cc group by 1, 2), big as (select image, arg_min(lab, (-n, lab)) lab from size group by 1),
+    body as (select cc.* from cc join big using (image, lab)), edge as (select image, b."row" + dr y, b.col + dc x, 1 k from body b join (values {", ".join(f"({a}, {b})" for a in (-1, 0, 1) for b in (-1, 0, 1))}) as a(dr, dc) on true),
+    near as (select m.image, m."row", m.col, m.d, (select count(*) from (values {", ".join(f"({a}, {b})" for a in (-1, 0, 1) for b in (-1, 0, 1))}) as a(dr, dc)
+        join body b on b.image = m.image and b."row" = least(greatest(m."row" + dr, 0), {SIDE - 1}) and b.col = least(greatest(m.col + dc, 0), {SIDE - 1})) n from m),
+    kept as (select *, min(d) over (partition by image) lo, max(d) over (partition by image) hi from near where n >= 5),
+    norm as (select image, "row", col, cast(case when hi > lo then least(greatest(round_even((d - lo) * (1000 / cast(hi - lo as double)), 0), 0), 1000) else 0 end as integer) subj from kept)
+    select * from norm where subj <> 0""")
 def subject(s, d):
     return grid.subject(pixels(s, d), SIDE, SIDE)
 
 
-@query()
+@query(f"""with {_G}, every_ as (select image, y "row", x col from (select distinct image from g) join (select unnest(range({SIDE})) y) on true join (select unnest(range({SIDE})) x) on true),
+    fg as (select image, "row", col from g where subj <> 0), bg as (select image, "row", col from every_ anti join fg using (image, "row", col)),
+    away as (select f.image, f."row", f.col, min(abs(f."row" - b."row") + abs(f.col - b.col)) n from fg f join bg b using (image) group by 1, 2, 3)
+    select image, "row", col from away a where n >= coalesce((select max(q.n) from away q where q.image = a.image and abs(q."row" - a."row") + abs(q.col - a.col) = 1), 0)""")
 def skeleton(s, d):
     return grid.skeleton(pixels(s, d), "subj", SIDE, SIDE)
 
 
-@query()
+@query(f"""with {_G}, k as (select image, "row" y, count(*) n, min(col) l, max(col) r, cast(floor(avg(col)) as integer) m from g where subj <> 0 group by 1, 2),
+    w as (select *, n - coalesce(lag(n) over (partition by image order by y), n) up, min(y) over (partition by image) top from k),
+    s as (select * from (select *, row_number() over (partition by image order by up desc, y) z from w) where z = 1), h as (select image, y hy, m hm from w where y = top),
+    c as (select * from (select w.image, w.y ny, w.m nm, row_number() over (partition by w.image order by w.n, w.y desc) z from w join s using (image) where w.y < s.y and w.y >= floor((w.top + s.y) / 2)) where z = 1)
+    select s.image, hy head_row, hm head_col, coalesce(ny, hy) neck_row, coalesce(nm, hm) neck_col, s.y shoulder_row, s.l left_col, s.r right_col, 2 * s.y - hy sternum_row, s.m sternum_col from s join h using (image) left join c using (image)""")
 def silhouette(s, d):
     return grid.silhouette(pixels(s, d))
 
@@ -650,9 +731,9 @@ def strain_totals(s, d):
 # --- joins ---------------------------------------------------------------------------------------------------------------------------------
 
 
-@query("select a.rec_id, b.mm_id, a.image from (select distinct image, rec_id from records where data_split = 'test') a join (select distinct image, mm_id from measurements where image is not null) b on a.image = b.image")
+@query("select a.rec_id, b.mm_id, a.image from (select distinct image, rec_id from records) a join (select distinct image, mm_id from measurements where image is not null) b on a.image = b.image")
 def same_name(s, d):
-    """Whole listings of both tables. The SQL beside it still has the test split only, so the two differ by the pairs of all other splits."""
+    """Whole listings of both tables."""
     a = table(s, d, "records").select("image", "rec_id").distinct()
     b = table(s, d, "measurements").where("image is not null").select("image", "mm_id").distinct()
     return joins.same_name(a, b, "image")
@@ -699,10 +780,11 @@ def node_remap(s, d):
     return joins.remapped(train.partition_rows(records(s, d), "f20", 320).select("rec_id", "node_id"), mapping)
 
 
-@query(f"with {_R}, f as (select * from r where f0 is not null) select x.image, \"row\", col, subj, n from ({_G.replace('g as (', 'select * from (', 1)}) x join (select image, count(*) n from f group by image) k on x.image = k.image")
+@query(f"with {_G} select image, \"row\", col, subj, case value % 7 {' '.join(f"when {i} then '{n}'" for i, n in enumerate(CATEGORIES))} else 'None' end \"label\" from g where subj <> 0")
 def positional_join(s, d):
-    counts = records(s, d).where("f0 is not null").groupBy("image").agg(F.count("*").alias("n"))
-    return joins.positional(pixels(s, d).select("image", "row", "col", "subj"), counts, ["image"])
+    """Foreground pixels with the category of their place in the label image."""
+    foreground = pixels(s, d).where(scalar.is_foreground("subj")).select("image", "row", "col", "subj")
+    return joins.positional(foreground, _label_colours(s, d).select("image", "row", "col", scalar.colour_category("r", "g", "b").alias("label")))
 
 
 # --- frames ----------------------------------------------------------------------------------------------------------------------------------
@@ -712,15 +794,15 @@ def _numbered(s, d):
     return frames.numbered(clips(s, d), ["user_id"], ["ts", "event_id"])
 
 
-_N = f"{_V}, q as (select *, row_number() over (partition by user_id order by ts, event_id) - 1 seq from v)"
+_N_EVENTS = f"{_V}, q as (select *, row_number() over (partition by user_id order by ts, event_id) - 1 seq from v)"
 
 
-@query(f"with {_N} select event_id, user_id, cast(seq as bigint) seq from q where seq % 5 = 0")
+@query(f"with {_N_EVENTS} select event_id, user_id, cast(seq as bigint) seq from q where seq % 5 = 0")
 def frame_sample(s, d):
     return frames.every_nth(_numbered(s, d), 5).select("event_id", "user_id", F.col("seq").cast("bigint").alias("seq"))
 
 
-@query(f"with {_N} select event_id, user_id from q where seq in (1, 3)")
+@query(f"with {_N_EVENTS} select event_id, user_id from q where seq in (1, 3)")
 def frame_snapshots(s, d):
     return frames.snapshots(_numbered(s, d), [1, 3]).select("event_id", "user_id")
 
@@ -741,7 +823,14 @@ def frame_maxima(s, d):
     return background.frame_maxima(pixels(s, d), ("image",), "subj")
 
 
-@query()
+_RING = """with recursive {source}, a(stream, frame, ring, distance) as (
+    select stream, frame, [case when i = 1 then case when floor(greatest / 8) < 10000 then 10000 else greatest end else 0 end::double for i in range(1, 9)], cast(greatest(floor(greatest / 8), 10000) as bigint) from v0 where k = 0
+    union all select stream, frame, [case when i - 1 = slot and mean < 10000 then 10000 else laid[i] end::double for i in range(1, 9)], cast(greatest(mean, 10000) as bigint)
+    from (select *, floor(list_sum(laid) / 8) mean from (select v.stream, v.frame, v.k % 8 slot, [case when i - 1 = v.k % 8 then v.greatest else a.ring[i] end::double for i in range(1, 9)] laid from a join v0 p on p.stream = a.stream and p.frame = a.frame join v0 v on v.stream = a.stream and v.k = p.k + 1)))"""
+_DISTANCES = _RING.format(source=f"{_N_EVENTS}, v0 as (select user_id stream, seq frame, seq k, cast(value + 5000 as double) greatest from q)") + " select stream, frame, distance from a"
+
+
+@query(_DISTANCES)
 def adaptive_distance(s, d):
     rows = _numbered(s, d).select(F.col("user_id").alias("stream"), F.col("seq").alias("frame"), (F.col("value") + 5000).alias("greatest"))
     return background.adaptive_distance(rows)
@@ -752,29 +841,58 @@ def view_mask(s, d):
     return background.view_mask(pixels(s, d).withColumn("distance", F.lit(10_200))).select("image", "row", "col", "in_view")
 
 
-@query()
+@query(f'with {_G}, f as (select image % 4 stream, image // 4 frame, "row", col, depth from g) select stream, frame, "row", col, sum(depth) over (partition by stream, "row", col order by frame rows between 3 preceding and current row) / 4.0 model from f where frame % 2 = 0')
 def background_model(s, d):
     """Frames are the images of each of four streams; every second is sampled."""
     rows = pixels(s, d).withColumns({"stream": F.pmod("image", F.lit(4)), "frame": F.floor(F.col("image") / 4)})
     return background.background_model(rows, sample=2).select("stream", "frame", "row", "col", "model")
 
 
-def _streamed(s, d, rows: DataFrame, schema: str, run, out_schema: str) -> DataFrame:
-    """``rows`` dropped as files, read as a stream to its end, results read back."""
+_SHOWN = f"""{_G}, f as (select image % 4 stream, image // 4 frame, "row", col, cast(depth - 7000 as bigint) depth from g),
+    m as (select *, sum(depth) over (partition by stream, "row", col order by frame rows between 3 preceding and current row) / 4.0 model from f), n as (select *, case when abs(depth - model) > 500 and abs(depth - model) <= 3500 then 1 else 0 end raw from m),
+    h as (select *, min(raw) over (partition by stream, frame, "row" order by col rows between 2 preceding and 2 following) hm from n), e as (select *, min(hm) over (partition by stream, frame, col order by "row" rows between 2 preceding and 2 following) motion from h),
+    top as (select stream, frame, coalesce(max(case when motion <> 0 and depth > 5000 and depth <= 20000 then depth end), 0) greatest from e group by 1, 2),
+    v0 as (select stream, frame, row_number() over (partition by stream order by frame) - 1 k, cast(greatest as double) greatest from top)"""
+
+
+@query(_RING.format(source=_SHOWN) + ' select e.stream, e.frame, e."row", e.col, e.depth, model, motion, distance, e.depth > 5000 and e.depth <= distance + 1000 in_view from e join a using (stream, frame)')
+def background_chain(s, d):
+    """Model, eroded motion, adaptive distance and view mask of four streams of frames; every frame is sampled."""
+    rows = pixels(s, d).withColumns({"stream": F.pmod("image", F.lit(4)), "frame": F.floor(F.col("image") / 4)})
+    return background.background_chain(rows.select("stream", "frame", "row", "col", (F.col("depth") - 7000).cast("bigint").alias("depth")), sample=1)
+
+
+@query(f'with {_G}, f as (select image % 4 stream, image // 4 frame, "row", col, depth from g) select * from f where frame = (select max(frame) from f l where l.stream = f.stream)')
+def last_frame(s, d):
+    rows = pixels(s, d).withColumns({"stream": F.pmod("image", F.lit(4)), "frame": F.floor(F.col("image") / 4)})
+    return frames.last_frame(rows.select("stream", "frame", "row", "col", "depth"))
+
+
+@query("select event_id, user_id * 2 + event_id % 7 code from events")
+def row_callback(s, d):
+    """A callback over all rows of a scan, block by block."""
+    return frames.per_row(table(s, d, "events").select("event_id", "user_id"), lambda b: b.assign(code=b["user_id"] * 2 + b["event_id"] % 7)[["event_id", "code"]], "event_id bigint, code bigint")
+
+
+def _streamed(s, d, rows: DataFrame, schema: str, run, out_schema: str, parts: int = 3, files: int = 4) -> DataFrame:
+    """``rows`` dropped as files in order of their frames, read as a stream in ``parts`` micro-batches, results read back. State passes from batch to batch."""
     from .tables import shared_dir
 
-    dropped = materialise(rows.repartition(3))
-    path = dropped.inputFiles()[0].rsplit("/", 1)[0]
+    rows = materialise(rows)
+    last = rows.agg(F.max("frame")).collect()[0][0] or 0
     import uuid
 
     base = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
-    stream = run(frames.read_frames(s, path, schema))
+    part = F.floor(F.col("frame") * parts / (last + 1))
+    for k in range(parts):  # files are taken in the order in which they were written
+        rows.where(part == k).repartition(files).write.mode("append").parquet(base + "/in")
+    stream = run(frames.read_frames(s, base + "/in", schema, files_per_trigger=files))
     q = stream.writeStream.format("parquet").option("checkpointLocation", base + "/state").option("path", base + "/out").trigger(availableNow=True).start()
     q.awaitTermination()
     return s.read.schema(out_schema).parquet(base + "/out")
 
 
-@query()
+@query(_DISTANCES)
 def stream_distance(s, d):
     from ..streaming.tracking import distance_stream
 
@@ -792,6 +910,22 @@ def stream_tracker(s, d):
     return _streamed(s, d, rows, schema, lambda x: track_stream(x, SIDE, SIDE), LOCATIONS)
 
 
+@query(f"with {_C}, f as (select distinct image from c) select count(*) * 5 locations, true same_rows from f")
+def stream_tracker_twin(s, d):
+    """The streamed tracker against the one over the whole table: the same rows, five for every frame."""
+    streamed, whole = materialise(stream_tracker(s, d)), materialise(posture.track(classified(s, d), SIDE, SIDE))
+    differing = streamed.exceptAll(whole).unionByName(whole.exceptAll(streamed)).count()
+    return whole.agg(F.count("*").alias("locations")).withColumn("same_rows", F.lit(differing == 0))
+
+
+@query()
+def frames_to_strains(s, d):
+    """A tree grown on labelled frames, then from frames of four streams to summed strains: features, vote, tracker, measurements, nearest knowledge."""
+    tree = train.grow(materialise(frames_to_records(s, d)), FEATURES, settings=Settings(max_depth=5))
+    rows = pixels(s, d).withColumns({"stream": F.pmod("image", F.lit(4)), "frame": F.floor(F.col("image") / 4)})
+    return pipeline.strains_from_frames(rows, [tree], table(s, d, "knowledge").withColumnRenamed("mm_id", "entry_id"), rows=SIDE, cols=SIDE, segmented=True)
+
+
 # --- scalar functions -------------------------------------------------------------------------------------------------------------------------
 
 
@@ -833,6 +967,11 @@ def strains_text(s, d):
     return table(s, d, "strains").select("line_no", scalar.strains_text(STRAINS).alias("line"))
 
 
+@query(f"select mm_id, 'MS(M(' || array_to_string(mm, ',') || ');S(P(' || concat_ws(',', {', '.join(STRAINS[:4])}) || '),P(' || concat_ws(',', {', '.join(STRAINS[4:])}) || ')))' line from knowledge")
+def knowledge_lines(s, d):
+    return table(s, d, "knowledge").select("mm_id", scalar.knowledge_text("mm", STRAINS).alias("line"))
+
+
 @query("""select l_orderkey, l_linenumber, cast(round(20 / (l_quantity * 100 / 10000.0)) as integer) shifted, cast(floor(l_quantity / 3) as integer) third, least(greatest(cast(floor(l_extendedprice) as bigint) - 30000, 0), 65535) saturated,
     cast(ceil(l_discount * 10) as integer) up from lineitem""")
 def scalar_arithmetic(s, d):
@@ -853,11 +992,6 @@ def pair_distance(s, d):
     return pairs.select("vec_id", F.round(scalar.distance_array("a", "b"), 5).alias("dist"), F.round(scalar.add_arrays("a", "b")[0], 6).alias("first_sum"))
 
 
-@query("select count(*) n, min(line_no) first_line from raw_lines where kind = 'strains'")
-def dropped_lines(s, d):
-    return table(s, d, "raw_lines").where("kind = 'strains'").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
-
-
 def queries():
     return dict(REGISTRY)
 

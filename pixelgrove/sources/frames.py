@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -31,6 +32,32 @@ def snapshots(frames: DataFrame, keep: Sequence[int], seq: str = "seq") -> DataF
     return frames.where(F.col(seq).isin(list(keep)))
 
 
+def without_snapshots(frames: DataFrame, drop: Sequence[int], seq: str = "seq") -> DataFrame:
+    """Snapshots with those of given numbers freed."""
+    return frames.where(~F.col(seq).isin(list(drop)))
+
+
+def save_snapshots(frames: DataFrame, path: str, keep: Sequence[int], seq: str = "seq", form: str = "parquet", mode: str = "errorifexists") -> None:
+    """The frames of given numbers, saved."""
+    snapshots(frames, keep, seq).write.format(form).mode(mode).save(path)
+
+
+def last_frame(frames: DataFrame, by: Sequence[str] = ("stream",), seq: str = "frame") -> DataFrame:
+    """All rows of each stream's last frame: of pixels, of a background model, or of masks alike."""
+    newest = frames.groupBy(*by).agg(F.max(seq).alias(seq))
+    return frames.join(newest, [*by, seq])
+
+
+def per_row(rows: DataFrame, callback: Callable[[pd.DataFrame], pd.DataFrame], schema: StructType | str) -> DataFrame:
+    """A callback over all rows of a scan, called with blocks of them (Arrow batches) and not row by row; no shuffle."""
+
+    def run(blocks):
+        for block in blocks:
+            yield callback(block)
+
+    return rows.mapInPandas(run, schema)
+
+
 def write_frames(frames: DataFrame, path: str, checkpoint: str, n: int = 30, seq: str = "seq", form: str = "parquet") -> DataStreamWriter:
     """Sink that keeps every n-th frame; start it with ``.start()``."""
     return every_nth(frames, n, seq).writeStream.format(form).option("checkpointLocation", checkpoint).option("path", path).outputMode("append")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import hash_share, knowledge_text, node_text, padded, record_text
+from ..plans.tables import broadcast_if_small, materialise
 from ..schema import BACKGROUND, N_FEATURES, STRAINS
 
 ID_WIDTH, VALUE_WIDTH = 12, 4
@@ -60,10 +61,20 @@ def read_ordered(spark: SparkSession, path: str, n: int = N_FEATURES) -> DataFra
 
 
 def ordered_text(records: DataFrame, features: Sequence[str], key: str = "rec_id") -> DataFrame:
-    """``value``: the lines of an ordered dataset, each feature's (id, value) pairs in order of value. Missing cells go last as the sentinel."""
+    """``value``: the lines of an ordered dataset, each feature's (id, value) pairs in order of value. Missing cells go last as the sentinel.
+
+    Cells are sorted once, range-partitioned by (feature, value, id) over all tasks; a cell's place within its feature is its place in its partition
+    plus the feature's cells in the partitions before, a table of a row per partition and feature.
+    """
     cells = F.array(*[F.struct(F.lit(i).alias("feature"), F.coalesce(F.col(f).cast("int"), F.lit(9999)).alias("v")) for i, f in enumerate(features)])
     long = records.select(key, F.explode(cells).alias("c")).select(key, "c.*")
-    ranked = long.withColumn("at", F.row_number().over(Window.partitionBy("feature").orderBy("v", key)))
+    within = F.monotonically_increasing_id()
+    ranged = long.repartitionByRange("feature", "v", key).sortWithinPartitions("feature", "v", key)
+    placed = materialise(ranged.select("*", F.spark_partition_id().alias("_p"), within.alias("_i")))
+    starts = placed.groupBy("_p", "feature").agg(F.min("_i").alias("_from"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("feature").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = starts.select("_p", "feature", (before - F.col("_from")).alias("_add"))
+    ranked = placed.join(broadcast_if_small(materialise(starts)), ["_p", "feature"]).withColumn("at", F.col("_i") + F.col("_add"))
     text = F.concat(padded(key, ID_WIDTH), padded("v", VALUE_WIDTH))
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("feature", text.alias("t")))), lambda x: x["t"]), "")
     return ranked.groupBy("at").agg(line.alias("value")).orderBy("at").select("value")

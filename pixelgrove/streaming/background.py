@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.grid import morph
+
 RING, SAMPLE = 4, 15
 NEAR, FAR, FLOOR, RING_MAX, MARGIN = 5000, 20_000, 10_000, 8, 1000
 LEAST_MOTION, MOST_MOTION = 500, 3500
@@ -33,6 +35,13 @@ def motion_mask(pixels: DataFrame, depth: str = "depth", model: str = "model", o
     return pixels.withColumn(out, ((moved > LEAST_MOTION) & (moved <= MOST_MOTION)).cast("int"))
 
 
+def motion_area(pixels: DataFrame, depth: str = "depth", model: str = "model", size: int = 5, out: str = "motion") -> DataFrame:
+    """``motion_mask`` eroded by a square, frame by frame: single moving pixels are noise. Needs ``stream, frame, row, col``."""
+    image = F.concat_ws("/", "stream", "frame")
+    moved = motion_mask(pixels, depth, model, "_m").withColumn("image", image)
+    return morph(moved, "_m", "erode", size, out=out).drop("_m", "image")
+
+
 def frame_maxima(pixels: DataFrame, by: Sequence[str] = ("stream", "frame"), mask: str = "motion") -> DataFrame:
     """Greatest depth of the moving area within (NEAR, FAR]; 0 without any."""
     seen = F.when((F.col(mask) != 0) & (F.col("depth") > NEAR) & (F.col("depth") <= FAR), F.col("depth"))
@@ -72,5 +81,22 @@ def adaptive_distance(maxima: DataFrame, stream: str = "stream", frame: str = "f
     return rows.repartition("stream").sortWithinPartitions("stream", "frame").mapInPandas(run, "stream bigint, frame bigint, distance bigint")
 
 
+def background_chain(pixels: DataFrame, sample: int = SAMPLE, length: int = RING, size: int = 5) -> DataFrame:
+    """``stream, frame, row, col, depth, model, motion, distance, in_view`` of every pixel ``(stream, frame, row, col, depth)``.
+
+    The background model of a frame is that of its stream's last sampled frame; before the first one nothing moves and the model is null. What moves, eroded,
+    gives the frame's greatest depth, these the adaptive distance, and that the view mask. One shuffle by pixel, two for the erosion, one by frame.
+    """
+    depth = F.when(F.pmod(F.col("frame"), F.lit(sample)) == 0, F.col("depth"))
+    w = Window.partitionBy("stream", "row", "col").orderBy("frame")
+    seen = F.collect_list(depth).over(w.rowsBetween(-(sample * length), 0))
+    ring = F.when(F.size(seen) > length, F.slice(seen, -length, length)).otherwise(seen)
+    total = F.aggregate(ring, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    modelled = pixels.withColumn("model", F.when(F.size(ring) > 0, total / float(length)))  # a ring not yet full counts as padded with zeros
+    area = motion_area(modelled, size=size).withColumn("motion", F.coalesce("motion", F.lit(0)))
+    distance = adaptive_distance(frame_maxima(area))
+    return view_mask(area.join(distance, ["stream", "frame"]))
+
+
 def view_mask(pixels: DataFrame, distance: str = "distance", least: int = NEAR, out: str = "in_view") -> DataFrame:
     return pixels.withColumn(out, (F.col("depth") > least) & (F.col("depth") <= F.col(distance) + MARGIN))
