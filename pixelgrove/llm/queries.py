@@ -151,7 +151,7 @@ def p9_profile(s, d):
 
 def p9_cross_validation(s, d):
     model = reading.fit(table(s, d, "documents"), table(s, d, "reading_labels"))
-    return s.createDataFrame(model.report, "source string, texts bigint, mean_error double, same_level double, level1 bigint, called1 bigint, right1 bigint")
+    return s.createDataFrame(model.report, "source string, texts bigint, mean_error double, same_level double, level1 bigint, called1 bigint, right1 bigint, precision double, recall double")
 
 
 def queries():
