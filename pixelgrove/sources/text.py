@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,12 +19,6 @@ from ..schema import BACKGROUND, N_FEATURES, STRAINS
 ID_WIDTH, VALUE_WIDTH = 12, 4
 
 
-def _int(c: Column, mode: str, least: str = "value") -> Column:
-    if mode != "FAILFAST":
-        return c.try_cast("int")
-    return F.when(c.try_cast("int").isNotNull(), c.try_cast("int")).otherwise(F.raise_error(F.concat(F.lit(f"not a number for {least}: "), F.coalesce(c, F.lit("nothing")))).cast("int"))
-
-
 def read_dataset(spark: SparkSession, path: str, n: int = N_FEATURES, with_ids: bool = False, mode: str = "FAILFAST", missing: int = BACKGROUND) -> DataFrame:
     """``[rec_id,] f0.., label`` from whitespace-separated lines; either line end, blank lines skipped, the sentinel (also as -1) as null.
 
@@ -35,9 +29,13 @@ def read_dataset(spark: SparkSession, path: str, n: int = N_FEATURES, with_ids:
     first, size = int(with_ids), n + 1 + int(with_ids)
     if mode == "FAILFAST":
         lines = lines.withColumn("_f", F.when(F.size("_f") >= size, F.col("_f")).otherwise(F.raise_error(F.concat(F.lit("too few fields: "), F.array_join("_f", " "))).cast("array<string>")))
-    cell = lambda i: _int(F.get("_f", F.lit(first + i)), mode, f"f{i}")
-    present = lambda c: F.when((c != missing) & (c != -1), c)
-    columns = [present(cell(i)).alias(f"f{i}") for i in range(n)]
+    # all cells are cast at once, so that a line is cut and checked once and not once per column
+    values = F.transform(F.slice("_f", first + 1, n), lambda x: x.try_cast("int"))
+    lines = lines.withColumn("_v", values)
+    if mode == "FAILFAST":
+        lines = lines.withColumn("_v", F.when(F.exists("_v", lambda v: v.isNull()), F.raise_error(F.concat(F.lit("not a number: "), F.array_join("_f", " "))).cast("array<int>")).otherwise(F.col("_v")))
+    cell = lambda i: F.get("_v", F.lit(i))
+    columns = [F.when((cell(i) != missing) & (cell(i) != -1), cell(i)).alias(f"f{i}") for i in range(n)]
     ids = [F.get("_f", F.lit(0)).try_cast("bigint").alias("rec_id")] if with_ids else []
     return lines.select(*ids, *columns, F.get("_f", F.lit(first + n)).alias("label"))
 
