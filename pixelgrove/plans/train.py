@@ -162,7 +162,8 @@ def train(records: DataFrame, features: Sequence[str], label: str = "label", set
     histogram = {r[0]: r[1] for r in named.groupBy("_label").agg(F.count("*")).collect()}  # one row per class
     labels = sorted(histogram)
     code = F.array_position(F.array(*map(F.lit, labels)), F.col("_label")).cast("int") - 1 if labels else F.lit(0)
-    base = named.select(F.lit(1).cast("bigint").alias("node"), code.alias("y"), "cells")
+    # classes are coded and cells gathered once, and not in every level's scan
+    base = materialise(named.select(F.lit(1).cast("bigint").alias("node"), code.cast("int").alias("y"), "cells"))
     # the upper tree: node -> (feature, value, true child, false child); counts of every node; nodes put off
     splits: dict[int, tuple[int, int, int, int]] = {}
     counts: dict[int, np.ndarray] = {1: np.array([histogram[k] for k in labels], np.int64)}
