@@ -135,7 +135,7 @@ class KeyMaker:
             for shift in range(-self.shift, self.shift + 1) if not probing else (0,):
                 if segment and not 0 <= segment[0] + shift <= segment[-1] + shift < self.n or shift and not segment:
                     continue
-                r, x = np.arange(len(cells)), _mix(seed + np.uint64(tag + 17 * level + 1))
+                r, x = np.arange(len(cells)), _mix(_mix(seed) + np.uint64(tag + 17 * level + 1))
                 for j, i in enumerate(segment):
                     v = cells[r, i + shift]
                     missing = v == _MISSING
@@ -394,14 +394,26 @@ def overlapping(records: DataFrame, features: list[str] | None = None, k: int =
     return materialise(verified), represented
 
 
-def record_pairs(records: DataFrame) -> DataFrame:
-    """``rec_id_a, rec_id_b`` (a < b): all overlapping pairs of a training and an evaluation record, groups of copies written out."""
-    pairs, represented = overlapping(records)
+def written_out(pairs: DataFrame, represented: DataFrame | None) -> DataFrame:
+    """``rec_id_a, rec_id_b, edits`` (a < b): one row for every pair of records that ``pairs`` stand for, groups of copies written out."""
     if represented is not None:
         t = represented.where("side = 0").select(F.col("rep").alias("train_id"), F.col("rec_id").alias("_t"))
         e = represented.where("side = 1").select(F.col("rep").alias("eval_id"), F.col("rec_id").alias("_e"))
-        pairs = pairs.join(t, "train_id", "left").join(e, "eval_id", "left").select(F.coalesce("_t", "train_id").alias("train_id"), F.coalesce("_e", "eval_id").alias("eval_id"))
-    return pairs.select(F.least("train_id", "eval_id").alias("rec_id_a"), F.greatest("train_id", "eval_id").alias("rec_id_b")).where("rec_id_a < rec_id_b").distinct()
+        pairs = pairs.join(t, "train_id", "left").join(e, "eval_id", "left").select(F.coalesce("_t", "train_id").alias("train_id"), F.coalesce("_e", "eval_id").alias("eval_id"), "differing")
+    ordered = pairs.select(F.least("train_id", "eval_id").alias("rec_id_a"), F.greatest("train_id", "eval_id").alias("rec_id_b"), "differing").where("rec_id_a < rec_id_b")
+    return ordered.groupBy("rec_id_a", "rec_id_b").agg(F.min("differing").alias("edits"))
+
+
+def record_pairs(records: DataFrame) -> DataFrame:
+    """``rec_id_a, rec_id_b`` (a < b): all overlapping pairs of a training and an evaluation record, groups of copies written out."""
+    return written_out(*overlapping(records)).select("rec_id_a", "rec_id_b")
+
+
+def shifted_pairs(records: DataFrame) -> DataFrame:
+    """``rec_id_a, rec_id_b, edits`` (a < b): pairs that overlap only if cells may have moved by one column, groups of copies written out."""
+    pairs, represented = overlapping(records, shift=1)
+    same = overlapping(records)[0]  # the same records stand for groups of copies
+    return written_out(pairs.join(same, ["train_id", "eval_id"], "left_anti"), represented)
 
 
 def overlap_report(records: DataFrame) -> DataFrame:

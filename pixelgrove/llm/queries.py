@@ -93,9 +93,7 @@ def p6_found(s, d):
 
 def p6_shifted(s, d):
     """Pairs that are near only if cells may have moved by one column: ``rec_id_a, rec_id_b, edits``."""
-    pairs = overlap.overlapping(table(s, d, "records"), shift=1)[0]
-    same = overlap.overlapping(table(s, d, "records"))[0]
-    return pairs.join(same, ["train_id", "eval_id"], "left_anti").select(F.least("train_id", "eval_id").alias("rec_id_a"), F.greatest("train_id", "eval_id").alias("rec_id_b"), F.col("differing").alias("edits"))
+    return overlap.shifted_pairs(table(s, d, "records"))
 
 
 def p6_report(s, d):

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pixelgrove.llm import overlap
+from pixelgrove.llm.queries import p6_shifted
 
 N = 26
 SCHEMA = "rec_id bigint, data_split string, sensor_id string, outcome string, same boolean, key string, " + ", ".join(f"f{i} int" for i in range(N))
@@ -107,6 +108,20 @@ def test_shifted_cells_are_found_where_they_may_shift(spark):
     assert len(overlap.overlapping(frame(spark, rows))[0].collect()) < len(want)
 
 
+def test_copies_of_shifted_records_are_written_out(spark, tmp_path):
+    rng = random.Random(7)
+    base = [rng.randrange(1000) for _ in range(N)]
+    moved = base[1:] + [rng.randrange(1000)]
+    copies = lambda first, n, split, c: [(first + i, split, "Head", c) for i in range(n)]
+    rows = copies(0, overlap.COPIES + 6, "train", base) + copies(1000, 3, "test", moved) + copies(2000, overlap.COPIES + 1, "validation", moved)
+    rows += copies(3000, 2, "train", moved) + copies(4000, 1, "test", base)
+    want = {(min(t[0], e[0]), max(t[0], e[0])): 2 for t in rows for e in rows if t[1] == "train" and e[1] != "train" and t[3] != e[3]}
+    assert len(want) == 70 * 68 + 2
+    frame(spark, rows + rows[:5]).write.parquet(str(tmp_path / "records.parquet"))
+    got = [tuple(r) for r in p6_shifted(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and {(a, b): d for a, b, d in got} == want
+
+
 def test_segments_are_disjoint_runs():
     runs = overlap.segments([list(range(26))], 3)
     assert [len(x) for x in runs] == [6, 7, 6, 7] and sum(runs, []) == list(range(26))
@@ -143,3 +158,11 @@ def test_empty_splits(spark):
 def test_records_that_lack_everything(spark):
     rows = [(1, "train", "Head", [None] * N), (2, "test", "head ", [-1] * N), (3, "test", "Other", [-1] * N)]
     assert [tuple(r) for r in overlap.record_pairs(frame(spark, rows)).collect()] == [(1, 2)]
+
+
+def test_equal_cells_of_different_outcomes_are_no_pairs(spark):
+    outcomes = ("LeftShoulder", "RightShoulder", "Head", "Neck", "Sternum", "Other")
+    for cells in ([None] * N, [7] * N):
+        rows = [(i, "train" if i < 3 else "test", o, cells) for i, o in enumerate(outcomes)]
+        for shift in (0, 1):
+            assert overlap.overlapping(frame(spark, rows), shift=shift)[0].collect() == []
