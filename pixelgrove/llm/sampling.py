@@ -71,6 +71,7 @@ def cell_sizes(pct: np.ndarray, low: np.ndarray, available: np.ndarray, n: float
     out[listed] = fill(pct[listed], low[listed], available[listed], min(n, max(own, n * share)))
     left = max(0.0, min(n - out.sum(), n * (1 - share)))
     out[~listed] = fill(available[~listed], np.zeros((~listed).sum()), available[~listed], left)
+    out[out < EPS] = 0.0  # what is left by rounding of the sum isn't a part of a record
     return out
 
 

@@ -1,3 +1,4 @@
+import itertools
 from collections import Counter
 
 import numpy as np
@@ -76,6 +77,20 @@ def test_a_batch_draws_what_it_wants_in_all(spark):
     assert {r.residual for r in report.collect() if r.batch_id == 1} == {-60.0, 0.0}
 
 
+def test_a_rest_from_rounding_draws_nothing_from_outcomes_without_target(spark):
+    outcomes = ("Other", "LeftShoulder", "RightShoulder", "Head", "Sternum", "Neck")
+    goals = ((32, 0), (26, 10), (24, 5), (8, 30), (6, 10))  # 4 % are left open, but the minima take them
+    rows = [(k * 1000 + i, 1, o, 0) for k, o in enumerate(outcomes) for i in range(100)]
+    targets = spark.createDataFrame([(1, o, p, 100, low) for o, (p, low) in zip(outcomes, goals, strict=False)], TARGETS)
+    pct, low = (np.array(x, float) for x in zip(*goals, (0, 0), strict=True))
+    for at in itertools.permutations(range(6)):  # sums depend on the order of the cells
+        size = sampling.cell_sizes(pct[list(at)], low[list(at)], np.full(6, 100.0), 100.0, np.array(at) < 5)
+        assert size[at.index(5)] == 0 and abs(size.sum() - 100) < 1e-9
+    sample, report = sampling.draw(spark.createDataFrame(rows, RECORDS), targets)
+    n = Counter(r.outcome for r in sample.collect())
+    assert sum(n.values()) == 100 and n["Neck"] == 0 and n["Head"] == 30 and report.where("short").count() == 0
+
+
 def test_the_sample_is_the_same_however_records_are_stored(spark, monkeypatch):
     monkeypatch.setattr(sampling, "BLOCK_ROWS", 60)  # several blocks per cell
     records = spark.createDataFrame([(i * 7, i % 2, ("Head", "Neck", "Other")[i % 3], 0) for i in range(1500)], RECORDS)
